@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.llm import neardup, split
+from earshot.llm import names, neardup, split
 from earshot.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_oversized(table(spark, sf_dir, "chunks_with_sentiment"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variant_spellings(table(spark, sf_dir, "chunks_with_sentiment"), table(spark, sf_dir, "companies"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = neardup.duplicate_pairs(*neardup.near_duplicates(table(spark, sf_dir, "chunks_with_sentiment")))
     return pairs.withColumnsRenamed({"id_a": "chunk_id_a", "id_b": "chunk_id_b"})
