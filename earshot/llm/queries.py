@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from earshot.llm import names, neardup, split
+from earshot.llm import boilerplate, canonical, leakage, names, neardup, split
 from earshot.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variant_spellings(table(spark, sf_dir, "chunks_with_sentiment"), table(spark, sf_dir, "companies"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, _ = boilerplate.company_boilerplate(table(spark, sf_dir, "chunks_with_sentiment"), table(spark, sf_dir, "companies"))
+    return blocks.select(F.col("source").alias("ticker"), "line")
+
+
+def p4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.company_boilerplate(table(spark, sf_dir, "chunks_with_sentiment"), table(spark, sf_dir, "companies"))[0]
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks_with_sentiment")
+    _, gone = boilerplate.company_boilerplate(chunks, table(spark, sf_dir, "companies"))
+    return boilerplate.without_lines(chunks.select("chunk_id", "ticker", "text"), gone, "chunk_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = neardup.duplicate_pairs(*neardup.near_duplicates(table(spark, sf_dir, "chunks_with_sentiment")))
     return pairs.withColumnsRenamed({"id_a": "chunk_id_a", "id_b": "chunk_id_b"})
@@ -34,6 +50,29 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_groups(*neardup.near_duplicates(table(spark, sf_dir, "chunks_with_sentiment"))).withColumnRenamed("id", "chunk_id")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = canonical.match_canonical(table(spark, sf_dir, "chunks_with_sentiment"), table(spark, sf_dir, "canonical_titles"))
+    return found.select(F.col("value").alias("title"), F.col("ref_id").alias("title_id"))
+
+
+def p7_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct title with its entry, and how often its rows carry each role against the entry's role."""
+    chunks, reference = table(spark, sf_dir, "chunks_with_sentiment"), table(spark, sf_dir, "canonical_titles")
+    found = canonical.match_canonical(chunks, reference).filter("ref_id > 0")
+    entry = reference.select(F.col("title_id").alias("ref_id"), F.col("role").alias("right_role"))
+    seen = chunks.groupBy("title", "role").agg(F.count("*").alias("n_rows"))
+    return seen.join(found, seen.title == found.value).join(entry, "ref_id").select("title", "role", "right_role", F.col("ref_id").alias("title_id"), "n_rows")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return regions.filter("run_words >= 12").select("doc_id", "item_id").distinct()
+
+
+def p8_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
