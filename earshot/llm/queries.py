@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import boilerplate, canonical, leakage, names, neardup, split
+from earshot.llm import boilerplate, canonical, leakage, names, neardup, pii, split, turns
 from earshot.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variant_spellings(table(spark, sf_dir, "chunks_with_sentiment"), table(spark, sf_dir, "companies"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.speaker_turns(table(spark, sf_dir, "chunks_with_sentiment")).select("chunk_id", "turn_no", "speaker").distinct()
+
+
+def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.speaker_turns(table(spark, sf_dir, "chunks_with_sentiment")).dropDuplicates(["chunk_id", "turn_no"])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, _ = boilerplate.company_boilerplate(table(spark, sf_dir, "chunks_with_sentiment"), table(spark, sf_dir, "companies"))
     return blocks.select(F.col("source").alias("ticker"), "line")
@@ -73,6 +81,14 @@ def p8_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_details(table(spark, sf_dir, "documents")).select("doc_id", "kind", "value").distinct()
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
