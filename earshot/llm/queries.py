@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.llm import boilerplate, canonical, leakage, names, neardup, pii, split, turns
+from earshot.llm import boilerplate, canonical, leakage, mixture, names, neardup, pii, split, splits, turns
 from earshot.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,17 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.without_lines(chunks.select("chunk_id", "ticker", "text"), gone, "chunk_id")
 
 
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = splits.company_splits(table(spark, sf_dir, "feature_matrix"), table(spark, sf_dir, "companies"), table(spark, sf_dir, "split_targets"))
+    return rows.select("ticker", "quarter", "company", "earnings_date", "abnormal_ret_1d", "split")
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = p5_splits(spark, sf_dir)
+    y = F.nanvl("abnormal_ret_1d", F.lit(None).cast("double"))
+    return rows.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("company").alias("companies"), F.avg(y).alias("mean_ret"), F.stddev(y).alias("sd_ret"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = neardup.duplicate_pairs(*neardup.near_duplicates(table(spark, sf_dir, "chunks_with_sentiment")))
     return pairs.withColumnsRenamed({"id_a": "chunk_id_a", "id_b": "chunk_id_b"})
@@ -81,6 +92,14 @@ def p8_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_details(table(spark, sf_dir, "documents")).select("doc_id", "kind", "value").distinct()
 
