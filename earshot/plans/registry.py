@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text", "panel")
+MODULES: tuple[str, ...] = ("text", "panel", "finance")
 
 
 def gather() -> tuple[dict, dict]:
