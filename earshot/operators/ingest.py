@@ -1,0 +1,73 @@
+"""Raw transcripts into turns and chunks."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from earshot.functions.text import role_of_title, strip
+
+#: A line that names its speaker: name, perhaps a title behind a dash, comma or in brackets, then a colon or the line's end.
+HEADER = r"^\[?([A-Z][\p{L}.'-]+(?: [A-Z][\p{L}.'-]+){1,4}|Operator)\]?(?:\s*(?:--|—|,|\()\s*([^:)\n]{1,60}?)\)?)?(?::(?:\s|$)|\s*$)"
+HEADINGS = ["prepared remarks", "question-and-answer session", "questions and answers", "forward-looking statements", "safe harbor"]
+
+
+def turns(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """``(key, turn, speaker, title, role, words)``: turns of transcripts by their header lines, and the role from a speaker's title wherever it was given.
+
+    Lines are numbered, headers counted up to each line, and lines of one count
+    gathered; text before the first header has no speaker and is turn 0.
+    """
+    lines = df.filter(F.col(text).isNotNull()).select(*key, F.posexplode(F.split(F.col(text), "\r?\n")).alias("n", "line"))
+    name = F.regexp_extract("line", HEADER, 1)
+    is_head = (name != "") & ~F.lower(name).isin(HEADINGS) & ((F.col("line").rlike(r"^\[|:|--|—|\(")) | (name == "Operator"))
+    x = lines.withColumn("speaker", F.when(is_head, name)).withColumn("title", F.when(is_head, F.nullif(F.regexp_extract("line", HEADER, 2), F.lit(""))))
+    over = Window.partitionBy(*key).orderBy("n")
+    x = x.withColumn("turn", F.count("speaker").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    said = F.when(F.col("speaker").isNotNull(), F.regexp_replace("line", HEADER, "")).otherwise(F.col("line"))
+    t = x.groupBy(*key, "turn").agg(F.max("speaker").alias("speaker"), F.max("title").alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", said.alias("s")))), lambda v: v["s"]), "\n").alias("words"))
+    known = F.last("title", ignorenulls=True).over(Window.partitionBy(*key, F.lower("speaker")).orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    role = F.when(F.lower("speaker") == "operator", "Operator").otherwise(role_of_title(known))
+    return t.withColumn("role", role).withColumn("words", strip(F.col("words")))
+
+
+def chunk_sentences(text: str, size: int = 400, overlap: int = 50, least: int = 50) -> list[str]:
+    """Sentences packed into chunks of at most ``size`` words, the last ones covering ``overlap`` words carried on; a tail of fewer than ``least`` words joins the chunk before or is dropped."""
+    out, now, n = [], [], 0
+    for s in re.split(r"(?<=[.!?])\s+", text.strip()):
+        w = len(s.split())
+        if now and n + w > size:
+            if n >= least:
+                out.append(" ".join(now))
+            kept, m = [], 0
+            for p in reversed(now):
+                if m >= overlap:
+                    break
+                kept.insert(0, p)
+                m += len(p.split())
+            now, n = (kept, m) if len(kept) < len(now) else ([], 0)
+        now.append(s)
+        n += w
+    tail = " ".join(now)
+    if now and n >= least:
+        out.append(tail)
+    elif now and out:
+        out[-1] = f"{out[-1]} {tail}"
+    return out
+
+
+def chunk_texts(df: DataFrame, id_col: str, text_col: str, size: int = 400, overlap: int = 50, least: int = 50) -> DataFrame:
+    """``(id, chunk_index, text)`` of every text by ``chunk_sentences``; null texts have none."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [chunk_sentences(t, size, overlap, least) for t in b.column(1).to_pylist()]
+            at = [i for i, c in enumerate(cut) for _ in c]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([k for c in cut for k in range(len(c))], pa.int32()), pa.array([x for c in cut for x in c], pa.string())], names=["id", "chunk_index", "text"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, chunk_index int, text string").withColumnRenamed("id", id_col)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("text", "panel", "finance")
+MODULES: tuple[str, ...] = ("text", "panel", "finance", "search")
 
 
 def gather() -> tuple[dict, dict]:
