@@ -150,8 +150,8 @@ def _as_ticker(raw: str) -> str:
     return m[1].lower() if m else ""
 
 
-def company_cost(raw: str, ticker: str, name: str, rare: str) -> float:
-    """Cost of reading ``raw`` as the company; infinite if it can't be. ``rare`` is the word of the name by which it is known."""
+def company_cost(raw: str, ticker: str, name: str, rare: list[str]) -> float:
+    """Cost of reading ``raw`` as the company; infinite if it can't be. One of the ``rare`` words, by which the name is known, must be there whole or one edit away."""
     best, symbol, own = float("inf"), _as_ticker(raw), ticker.strip().lower()
     if symbol:
         e = edits(symbol, own)
@@ -160,15 +160,14 @@ def company_cost(raw: str, ticker: str, name: str, rare: str) -> float:
     if not typed or len(typed) > len(words) or len(words) > 7:
         return best
 
+    def near(x: str, y: str) -> bool:
+        return x == y or (min(len(x), len(y)) >= 4 and edits(x, y) == 1)
+
     def one(x: str, y: str) -> float:
-        if x == y:
-            return 0.0
-        if y != rare and abbreviates(x, y):
-            return 0.25
-        return 1.0 if min(len(x), len(y)) >= 4 and edits(x, y) == 1 else float("inf")
+        return 0.0 if x == y else 0.25 if abbreviates(x, y) else 1.0 if near(x, y) else float("inf")
 
     for p in permutations(words, len(typed)):
-        if rare in p:
+        if any(y in rare and near(x, y) for x, y in zip(typed, p)):
             best = min(best, sum(map(one, typed, p)) + 0.05 * (len(words) - len(typed)))
     return best
 
@@ -179,7 +178,7 @@ def resolve_companies(values: DataFrame, companies: DataFrame, value_col: str =
     A value is read as a ticker (any case, exchange or country around it, one
     edit) or as a name (words left out, abbreviated or one edit away). Companies
     are posted under the deletion neighbourhoods of their ticker and of the
-    rarest word of their name; a value meets only companies with which it shares
+    rarest words of their name; a value meets only companies with which it shares
     one, and is given the one of least cost if that is unique. Nulls, blanks and
     values that fit several companies equally well have no row.
     """
@@ -200,13 +199,16 @@ def resolve_companies(values: DataFrame, companies: DataFrame, value_col: str =
 
     @F.pandas_udf("double")
     def cost(raw: pd.Series, ticker: pd.Series, name: pd.Series, rare: pd.Series) -> pd.Series:
-        return pd.Series([company_cost(*x) for x in zip(raw, ticker, name, rare)], dtype="float64")
+        return pd.Series([company_cost(r, t, n, list(w)) for r, t, n, w in zip(raw, ticker, name, rare)], dtype="float64")
 
     word = firm.select("ticker", F.explode_outer(tokens("name")).alias("word"))
     word = word.withColumn("df", F.count("*").over(Window.partitionBy("word")))
-    rare = word.groupBy("ticker").agg(F.coalesce(F.min(F.struct("df", "word"))["word"], F.lit("")).alias("rare"))
+    least = F.min("df").over(Window.partitionBy("ticker"))
+    rare = word.withColumn("least", least).groupBy("ticker").agg(F.collect_set(F.when(F.col("df") == F.col("least"), F.col("word"))).alias("rare"))
     index = firm.join(rare, "ticker")
-    index = index.select("ticker", "name", "rare", F.explode(F.concat(F.transform(near(F.lower(F.trim("ticker"))), lambda d: F.concat(F.lit("t"), d)), F.transform(near("rare"), lambda d: F.concat(F.lit("n"), d)))).alias("key"))
+    own = F.transform(near(F.lower(F.trim("ticker"))), lambda d: F.concat(F.lit("t"), d))
+    known = index.select("ticker", "name", "rare", F.explode_outer("rare").alias("w")).select("ticker", "name", "rare", F.explode(F.transform(near(F.coalesce("w", F.lit(""))), lambda d: F.concat(F.lit("n"), d))).alias("key"))
+    index = index.select("ticker", "name", "rare", F.explode(own).alias("key")).unionByName(known)
     meet = raws.select("raw", F.explode(probes("raw")).alias("key")).join(index, "key").select("raw", "ticker", "name", "rare").distinct()
     scored = meet.withColumn("cost", cost("raw", "ticker", "name", "rare")).filter(F.col("cost") < 3)
     best = scored.groupBy("raw", "cost").agg(F.count("*").alias("n"), F.min("ticker").alias("company")).groupBy("raw").agg(F.min(F.struct("cost", "n", "company")).alias("b"))
