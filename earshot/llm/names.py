@@ -155,7 +155,8 @@ def company_cost(raw: str, ticker: str, name: str, rare: list[str]) -> float:
     best, symbol, own = float("inf"), _as_ticker(raw), ticker.strip().lower()
     if symbol:
         e = edits(symbol, own)
-        best = e * 1.0 if e == 0 or (e == 1 and len(own) >= 4) else best
+        # A swap of neighbours is the likelier slip: it wins over another company that is one letter away.
+        best = float(e) if e == 0 else (0.9 if sorted(symbol) == sorted(own) else 1.0) if e == 1 and len(own) >= 4 else best
     typed, words = _company_tokens(raw), _company_tokens(name)
     if not typed or len(typed) > len(words) or len(words) > 7:
         return best
