@@ -26,6 +26,11 @@ PERCENT = r"(?i)\d+\.?\d*\s*%|percent"
 BASIS_POINTS = r"(?i)\d+\s*(?:basis points|bps)"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row, however often the body uses it (also inside lambdas)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -190,3 +195,11 @@ def highlight(text: Column, lexicons: list[tuple[str, list[str]]], limit: int |
         return out.otherwise(w)
 
     return F.array_join(F.transform(F.filter(F.split(body, r"\s+"), lambda w: w != ""), mark), " ")
+
+
+def highlight_phrases(text: Column, phrases: list[str], limit: int = 400, label: str = "risk") -> Column:
+    """An excerpt of ``limit`` characters around the earliest phrase, with ``<label>`` around every phrase; longer phrases win over those inside them."""
+    first = let(F.lower(text), lambda low: F.array_min(F.filter(F.transform(F.array(*map(F.lit, phrases)), lambda k: F.call_function("locate", k, low)), lambda p: p > 0)))
+    begin = F.greatest(F.lit(1), F.coalesce(first, F.lit(1)) - limit // 2)
+    either = "|".join("\\Q" + p + "\\E" for p in sorted(phrases, key=lambda p: (-len(p), p)))
+    return F.regexp_replace(F.substring(text, begin, F.lit(limit)), f"(?i)({either})", f"<{label}>$1</{label}>")

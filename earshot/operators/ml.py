@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, IDF, Imputer, NGram, Normalizer, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +63,37 @@ def walk_forward(df: DataFrame, features: list[str], target: str, order: str, sp
     return out
 
 
+def return_models(df: DataFrame, features: list[str], target: str, key: list[str] = ["ticker", "quarter"], folds: int = 3, trees: int = 100) -> DataFrame:  # noqa: B006
+    """``(model, cv_r2, feature, importance)`` of ridge, lasso, forest and boosting regressors, best mean fold R2 first; importances are absolute coefficients of the scaled features or impurity gains."""
+    rows = prepared(df, features, target).withColumn("fold", F.pmod(F.xxhash64(*key), F.lit(folds)).cast("int")).cache()
+    models = {
+        "ridge": LinearRegression(labelCol="y", regParam=1.0, elasticNetParam=0.0),
+        "lasso": LinearRegression(labelCol="y", regParam=0.001, elasticNetParam=1.0),
+        "random_forest": RandomForestRegressor(labelCol="y", numTrees=trees, maxDepth=3, seed=42),
+        "gradient_boosting": GBTRegressor(labelCol="y", maxIter=max(5, trees // 10), maxDepth=2, seed=42),
+    }
+    r2 = {name: [] for name in models}
+    for fold in range(folds):
+        train, test = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
+        head = Pipeline(stages=steps(features)).fit(train)
+        train, test = head.transform(train).cache(), head.transform(test).withColumn("m", F.avg("y").over(Window.partitionBy()))
+        for name, model in models.items():
+            e = model.fit(train).transform(test).agg(F.sum((F.col("y") - F.col("prediction")) ** 2).alias("e"), F.sum((F.col("y") - F.col("m")) ** 2).alias("t")).first()
+            r2[name].append(1 - e["e"] / e["t"] if e["t"] else 0.0)
+    head = Pipeline(stages=steps(features)).fit(rows)
+    whole, out = head.transform(rows).cache(), []
+    for name, model in models.items():
+        fit = model.fit(whole)
+        weight = [abs(float(c)) for c in (fit.coefficients if hasattr(fit, "coefficients") else fit.featureImportances.toArray())]
+        out += [(name, float(sum(r2[name]) / folds), f, w) for f, w in zip(features, weight)]
+    return df.sparkSession.createDataFrame(out, "model string, cv_r2 double, feature string, importance double").orderBy(F.desc("cv_r2"), "model", F.desc("importance"), "feature")
+
+
+def comparison(results: DataFrame) -> DataFrame:
+    """One row per model with its mean and sample deviation over folds, best first."""
+    return results.groupBy("model").agg(F.avg("accuracy").alias("mean"), F.stddev_samp("accuracy").alias("sd"), F.avg("baseline").alias("baseline"), F.sum("n").alias("n")).orderBy(F.desc("mean"), "model")
+
+
 def role_classifier(df: DataFrame, text: str, label: str, key: str, buckets: int = 4096, least: float = 0.4) -> DataFrame:
     """``(n, accuracy, confident)`` of a bag-of-words classifier on a held-out fifth of the keys; below ``least`` confidence nothing is claimed."""
     rows = df.select(key, F.col(text).alias("t"), F.col(label).alias("l")).dropna().dropDuplicates([key])

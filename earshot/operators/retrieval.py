@@ -182,3 +182,29 @@ def numbered_context(df: DataFrame, by: list[str], order: str, text: str) -> Dat
 def lookup(hits: DataFrame, docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """Hits with columns of their documents; the few hits are sent to the documents if counted small."""
     return docs.select(F.col(id_col).alias("id"), *columns).join(bounded_broadcast(hits), "id")
+
+
+def answer(question: str, hits: DataFrame, complete, history: list[tuple[str, str]] = (), budget: int = 3_000) -> dict:
+    """The answer to one question from its ranked hits ``(rank, text, ...)``.
+
+    The hits within the word budget are numbered into a prompt, ``complete(prompt,
+    history)`` (any language model; the last four turns are passed) gives the text,
+    and the sources it cites by number are returned with it. Without hits a fixed
+    text is returned; an error of the model becomes the text. At most ``budget``
+    rows reach the driver, since every hit has at least a word.
+    """
+    from earshot.functions.text import word_count
+
+    kept = within_budget(hits.withColumn("_g", F.lit(1)), ["_g"], ["rank"], F.greatest(word_count(F.col("text")), F.lit(1)), budget).drop("_g", "used").orderBy("rank").collect()
+    sources = [r.asDict() for r in kept]
+    if not sources:
+        return {"answer": "No relevant passages were found.", "sources": [], "cited_sources": []}
+    context = "\n---\n".join(f"[{i}] {s['text']}" for i, s in enumerate(sources, 1))
+    try:
+        text = complete(f"{context}\n\nQuestion: {question}", list(history)[-4:])
+    except Exception as e:
+        text = f"Error: {e}"
+    import re
+
+    cited = sorted({int(n) for n in re.findall(r"\[(\d+)\]", text)})
+    return {"answer": text, "sources": sources, "cited_sources": [sources[n - 1] for n in cited if 1 <= n <= len(sources)]}

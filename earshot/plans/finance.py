@@ -33,6 +33,13 @@ def chunk_risk_rollup(spark, d):
     return risk.rollup(_found(spark, d), ["chunk_id"]).select("chunk_id", F.array_join("categories", ",").alias("categories"), "risk_count", "risk_intensity")
 
 
+def call_risk_totals(spark, d):
+    """Per call: detections, distinct categories over its chunks, and mean intensity of its chunks with one."""
+    found = _found(spark, d)
+    chunk = risk.rollup(found, ["chunk_id", "ticker", "quarter"])
+    return chunk.groupBy("ticker", "quarter").agg(F.sum("risk_count").alias("total_risk_count"), r9(F.avg("risk_intensity"), "avg_risk_intensity"), F.size(F.array_distinct(F.flatten(F.collect_list("categories")))).alias("num_risk_categories"))
+
+
 def risk_heatmap(spark, d):
     return risk.heatmap(_found(spark, d), "ticker")
 
@@ -155,7 +162,7 @@ def bootstrap_ci(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        keyword_match_counts, keyword_negation_severity, chunk_risk_rollup, risk_heatmap, risk_trend, risk_summary_topk, semantic_centroid_detect, semantic_keyword_merge, overlap_tallies, asof_base_price, event_returns, abnormal_returns,
+        keyword_match_counts, keyword_negation_severity, chunk_risk_rollup, call_risk_totals, risk_heatmap, risk_trend, risk_summary_topk, semantic_centroid_detect, semantic_keyword_merge, overlap_tallies, asof_base_price, event_returns, abnormal_returns,
         abnormal_volume, simple_log_cum_returns, winsorize, qcut_sort, long_short_t, event_study_t, portfolio_backtest, cumulative_abnormal_return, ols_closed_form, ols_multi, newey_west, bootstrap_ci,
     )
 }
@@ -184,6 +191,8 @@ SQL = {
     "keyword_match_counts": f"{_DET} SELECT category, keyword, count(*) AS n, count(DISTINCT chunk_id) AS chunks FROM f GROUP BY ALL",
     "keyword_negation_severity": f'{_DET} SELECT chunk_id, category, keyword, "at", negated, severity, snippet FROM f',
     "chunk_risk_rollup": f"{_DET} SELECT chunk_id, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, count(*) AS risk_count, sum(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)::BIGINT AS risk_intensity FROM f WHERE NOT negated GROUP BY chunk_id",
+    "call_risk_totals": f"""{_DET}, cc AS (SELECT chunk_id, ticker, quarter, count(*) AS n, sum(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS i FROM f WHERE NOT negated GROUP BY ALL),
+        kk AS (SELECT ticker, quarter, count(DISTINCT category)::INTEGER AS num_risk_categories FROM f WHERE NOT negated GROUP BY ALL) SELECT ticker, quarter, sum(n)::BIGINT AS total_risk_count, round(avg(i), 9) AS avg_risk_intensity, any_value(num_risk_categories) AS num_risk_categories FROM cc JOIN kk USING (ticker, quarter) GROUP BY ALL""",
     "risk_heatmap": f"{_DET} SELECT ticker, {_PIV} FROM f WHERE NOT negated GROUP BY ticker",
     "risk_trend": f"{_DET} SELECT ticker, quarter, category, count(*) AS n, sum((severity = 'high')::INT)::BIGINT AS high FROM f WHERE NOT negated GROUP BY ALL",
     "risk_summary_topk": f"""{_DET}, g AS (SELECT ticker, quarter, category, count(*) AS n, arg_min(snippet, (chunk_id, "at", keyword)) AS example FROM f WHERE NOT negated GROUP BY ALL)

@@ -97,6 +97,10 @@ def walk_forward(spark, d):
     return ml.walk_forward(table(spark, d, FM).filter(F.col("quarter").rlike("^[0-9]{4}Q[1-4]$")), FEATURES, "abnormal_ret_1d", "quarter")
 
 
+def return_models(spark, d):
+    return ml.return_models(table(spark, d, FM), FEATURES, "abnormal_ret_1d", folds=2, trees=20)
+
+
 def role_classifier(spark, d):
     x = panel.keyed(table(spark, d, CH)).withColumn("group", F.when(F.col("role").isin("CEO", "CFO", "COO", "CTO", "VP"), "Management").when(F.col("role").isin("IR", "Analyst", "Operator"), F.col("role")))
     return ml.role_classifier(x, "text", "group", "chunk_id", buckets=1024)
@@ -105,7 +109,7 @@ def role_classifier(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, dense_topk, hybrid_rrf, hybrid_filtered, query_expansion, context_budget, retrieval_recall_mrr, answer_quality, speaker_turn_islands, speaker_turn_chunks, transcript_parse, chunker, direction_models, walk_forward, role_classifier,
+        bm25_topk, dense_topk, hybrid_rrf, hybrid_filtered, query_expansion, context_budget, retrieval_recall_mrr, answer_quality, speaker_turn_islands, speaker_turn_chunks, transcript_parse, chunker, direction_models, return_models, walk_forward, role_classifier,
     )
 }
 

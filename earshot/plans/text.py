@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earshot.functions import keys, lexicons, text as T
+from earshot.operators import sentiment
 from earshot.sources.tables import table
 
 L = lambda words: "[" + ",".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
@@ -99,6 +100,16 @@ def highlight_words(spark, d):
     return table(spark, d, DOCS).filter("text is not null").select("doc_id", T.highlight(F.col("text"), lex).alias("marked"))
 
 
+def highlight_risk(spark, d):
+    return table(spark, d, CHUNKS).filter("text is not null").select("chunk_id", T.highlight_phrases(F.col("text"), sorted({k for ks in lexicons.RISKS.values() for k in ks})).alias("excerpt"))
+
+
+def valence_scores(spark, d):
+    values = {w: 1.5 for w in lexicons.POSITIVE} | {w: -1.5 for w in lexicons.NEGATIVE}
+    x = sentiment.analyze(table(spark, d, DOCS).filter("text is not null"), "text", {"v": lambda c: sentiment.valence(c, values)})
+    return x.select("doc_id", *[F.round(f"v.{c}", 6).alias(c) for c in ("compound", "pos", "neg", "neu")])
+
+
 def quarter_normalize(spark, d):
     q = F.col("quarter")
     x = table(spark, d, CHUNKS).groupBy("quarter").agg(F.count("*").alias("n")).withColumn("q", keys.normalize_quarter(q))
@@ -152,7 +163,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lexicon_sentiment_by_source, lexicon_sentiment_chunks, readability, fls_features, specificity_features, word_sentence_counts, filler_passive_pronouns, citation_extract, normalized_scores, role_of_title, section_boundary,
-        boilerplate_strip, highlight_words, quarter_normalize, ticker_normalize, date_parse, missing_quarters, display_formats, ticker_detect,
+        boilerplate_strip, highlight_words, highlight_risk, valence_scores, quarter_normalize, ticker_normalize, date_parse, missing_quarters, display_formats, ticker_detect,
     )
 }
 

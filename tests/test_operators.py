@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from earshot.functions import keys, lexicons, text as T
-from earshot.operators import graph, ingest, market, relational, retrieval, risk, sinks, stats
+from earshot.operators import graph, ingest, market, relational, retrieval, risk, sentiment, sinks, stats
 from earshot.sources import transcripts
 from earshot.streaming import incremental
 
@@ -178,3 +178,31 @@ def test_relational(spark):
     assert {r["k"]: r["v"] for r in relational.keep_one(df, ["k"], [F.desc("v")]).collect()} == {"a": 2, "b": 1, None: 3}
     assert relational.coverage(df, "k", "v").count() == 4
     assert math.isclose(lexicons.lexicon_table(spark, {"x": ["a", "b"]}).count(), 2)
+
+
+def test_valence_rules(spark):
+    v = lambda t: one(spark, t, lambda c: sentiment.valence(c, {"good": 2.0, "bad": -2.0}, ["very"], ["slightly"], ["not"])["compound"])
+    assert 0 < v("slightly good") < v("good") < v("very good") and v("not good") < 0 and v("good but bad") < 0 and v("") == 0.0 and v("nothing") == 0.0
+
+
+def test_model_scores(spark):
+    def load():
+        def model(texts):
+            if "boom" in texts:
+                raise ValueError
+            return [("long" if len(t) > 3 else "short", 0.5) for t in texts]
+
+        return model
+
+    df = spark.createDataFrame([(1, "abcd"), (2, "ab"), (3, None)], "id int, t string")
+    assert {r["id"]: r["r"]["label"] for r in df.select("id", sentiment.model_scores(load)("t").alias("r")).collect()} == {1: "long", 2: "short", 3: "short"}
+    assert df.limit(1).select(sentiment.model_scores(load, batch=1)(F.lit("boom")).alias("r")).first()["r"]["label"] == "error"
+    got = sentiment.sentence_scores(spark.createDataFrame([(1, "A first sentence. And a second one.")], "id int, t string"), ["id"], "t", sentiment.model_scores(load)).first()
+    assert [s["sentence"] for s in got["sentences"]] == ["A first sentence.", "And a second one."]
+
+
+def test_answer(spark):
+    hits = spark.createDataFrame([(1, "alpha"), (2, "beta")], "rank int, text string")
+    got = retrieval.answer("q?", hits, lambda prompt, history: f"see [2] and [9] of {len(history)}", [("a", "b")] * 6)
+    assert got["answer"].endswith("of 4") and [s["text"] for s in got["cited_sources"]] == ["beta"]
+    assert retrieval.answer("q?", hits.limit(0), None)["sources"] == []

@@ -8,7 +8,7 @@ import oracle
 from earshot.plans import registry
 
 QUERIES, SQL = registry.gather()
-SLOW = {"direction_models", "walk_forward", "role_classifier"}
+SLOW = {"direction_models", "return_models", "walk_forward", "role_classifier"}
 
 
 @pytest.fixture(scope="session")
