@@ -172,7 +172,7 @@ def company_sector_rollup(spark, d):
     return table(spark, d, FM).join(table(spark, d, "companies").select("ticker", "sector"), "ticker").groupBy("sector").agg(F.count("*").alias("n"), r9(F.avg(panel.number("mean_vader_compound")), "vader"))
 
 
-_N = lambda c: f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END"
+_N = lambda c: f"CASE WHEN {c}::VARCHAR = 'nan' THEN NULL ELSE {c} END"  # noqa: E731  (isnan is folded to false from a file's statistics)
 _MEANS = ", ".join(f"round(avg({_N(c)}), 9) AS {c}" for c in panel.SCORES)
 _PANEL = f"""(SELECT ticker, quarter, {", ".join(f"avg({_N(c)}) AS mean_{c}" for c in panel.SCORES)}, avg(CASE WHEN role IN ('CEO', 'CFO', 'COO', 'CTO') THEN {_N("lm_net_score")} END) AS mgmt_sentiment,
     avg(CASE WHEN role = 'Analyst' THEN {_N("lm_net_score")} END) AS analyst_sentiment, avg(CASE WHEN section = 'prepared_remarks' THEN {_N("lm_net_score")} END) AS prepared_sentiment,
@@ -236,6 +236,6 @@ SQL = {
         b AS (SELECT total_risk_count, coalesce(sum(n) OVER (ORDER BY total_risk_count ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(n) OVER () AS al FROM p) SELECT ticker, quarter, total_risk_count, round(below * 100.0 / al, 9) AS percentile FROM f JOIN b USING (total_risk_count)""",
     "class_balance": f"SELECT count(*) AS n, round(avg((y > 0)::INT), 9) AS positive, round(greatest(round(avg((y > 0)::INT), 9), 1 - round(avg((y > 0)::INT), 9)), 9) AS majority FROM (SELECT {_N('abnormal_ret_1d')} AS y FROM {FM}) WHERE y IS NOT NULL",
     "median_imputation": f"SELECT {', '.join(f'round(median({_N(c)}), 9) AS {c}' for c in ('mean_lm_net_score', 'call_fog_index', 'qa_filler_rate', 'abnormal_volume'))} FROM {FM}",
-    "feature_coverage": f"SELECT feature, count(*) >= 0.7 * (SELECT count(*) FROM {FM}) AS kept, count(*) AS present FROM (UNPIVOT (SELECT COLUMNS(c -> c NOT IN ('ticker', 'quarter', 'earnings_date')) FROM {FM}) ON COLUMNS(*) INTO NAME feature VALUE v) WHERE NOT isnan(v) GROUP BY feature".replace("c -> c NOT", "lambda c: c NOT"),
+    "feature_coverage": f"SELECT feature, count(*) >= 0.7 * (SELECT count(*) FROM {FM}) AS kept, count(*) AS present FROM (UNPIVOT (SELECT COLUMNS(c -> c NOT IN ('ticker', 'quarter', 'earnings_date')) FROM {FM}) ON COLUMNS(*) INTO NAME feature VALUE v) WHERE v::VARCHAR <> 'nan' GROUP BY feature".replace("c -> c NOT", "lambda c: c NOT"),
     "company_sector_rollup": f"SELECT sector, count(*) AS n, round(avg({_N('mean_vader_compound')}), 9) AS vader FROM {FM} JOIN companies USING (ticker) GROUP BY sector",
 }
