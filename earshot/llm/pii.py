@@ -37,6 +37,7 @@ _SPELLED = re.compile(rf"\b(?:{_DIGIT})\b(?:[\s.,-]{{1,2}}(?:{_DIGIT})\b){{4,}}"
 _DIGIT_WORD = re.compile(rf"\b(?:{_DIGIT})\b[\s,.-]{{0,2}}", re.I)
 _DOT = re.compile(r"(?<=\w)[ \t]*[\[({<][ \t]*(?:dot|punkt|point|punto)[ \t]*[\])}>][ \t]*(?=\w)|(?<=\w)[ \t]+dot[ \t]+(?=\w)", re.I)
 _AT = re.compile(r"(?<=[\w+])[ \t]*[\[({<][ \t]*at[ \t]*[\])}>][ \t]*(?=\w)|(?<=[\w+])[ \t]+at[ \t]+(?=[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b(?![\w.+%-]*[ \t]*(?:@|\bat\b|[\[({<][ \t]*at\b)))", re.I)
+_AT_DOMAIN = re.compile(r" at [\w-]+\.[a-z]")
 _ODD = re.compile(r"[­​-‏⁠﻿Ͱ-ϿЀ-ӿԀ-ԯ＀-～\U0001d400-\U0001d7ff]")
 
 
@@ -56,8 +57,12 @@ def _rewrite(text: str, begin: list[int], end: list[int], pattern: re.Pattern, r
 
 def deobfuscate(text: str) -> tuple[str, list[int] | None, list[int] | None]:
     """The text with look-alike and invisible characters, spelled digits and at/dot disguises undone, and for each of its characters the first and one-past-last source character (None: nothing was changed)."""
-    odd, spelled, dots, ats = _ODD.search(text), _SPELLED.search(text), _DOT.search(text), "at" in text
-    if not (odd or spelled or dots or (ats and re.search(r"[\[({<][ \t]*at[ \t]*[\])}>]|\bat[ \t]+[\w-]+\.[a-z]", text, re.I))):
+    low = text.lower()
+    odd = None if text.isascii() else _ODD.search(text)
+    spelled = _SPELLED.search(text) if sum(w in low for w in DIGITS) > 1 else None
+    dots = ("dot" in low or "punkt" in low or "punto" in low or "point" in low) and _DOT.search(text)
+    ats = ("(at" in low or "[at" in low or "{at" in low or "<at" in low or "( at" in low or "[ at" in low) or (" at " in low and _AT_DOMAIN.search(low))
+    if not (odd or spelled or dots or ats):
         return text, None, None
     begin, end = list(range(len(text))), list(range(1, len(text) + 1))
     if odd:
@@ -73,7 +78,8 @@ def deobfuscate(text: str) -> tuple[str, list[int] | None, list[int] | None]:
     return text, begin, end
 
 
-_EMAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+")
+_LOCAL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*$")
+_DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]*[A-Za-z0-9])+")
 _EXT = r"(?:[ ,]{0,2}(?:ext(?:ension)?\.?|x)[ ]?\d{1,6}\b)?"
 _PHONE = re.compile(
     r"(?<![\w+.-])(?:"
@@ -110,14 +116,14 @@ _ADDRESSES = (
 _W = r"(?:[^\W\d_]|Ã[\u0080-¿€™œžŸŠš‹›“”‘’•–—]|�)+(?:['’-](?:[^\W\d_]|Ã[\u0080-¿€™œ]|�)+)*"
 _NAME = rf"(?:(?:[A-Za-z]\.[ \t]?){{1,3}}[ \t]?{_W}|{_W}(?:[ \t]+[A-Za-z]\.){{0,2}}[ \t]+{_W}|{_W},[ \t]+(?:{_W}(?:[ \t]+[A-Za-z]\.){{0,2}}|(?:[A-Za-z]\.[ \t]?){{1,2}}))"
 _TITLE = r"(?:(?:dr|mr|mrs|ms|miss|prof|professor|sir|herr|frau|mme|m|sr|sra|dra)\.?[ \t]+)?"
+#: What may stand before a name, and behind one; looked for in the lower-cased text.
 _BEFORE = re.compile(
     r"\b(?:for the (?:seller|buyer|tenant|landlord)|holder of record|attn|attention|contact(?: person)?|name|signed(?: by)?|witness(?:ed)?(?: by| was)?|checked by|prepared by|approved by|reviewed by|written by|sent by|came from|"
     r"send (?:it|this|them) to|write to|speak (?:to|with)|spoke (?:to|with)|thanks to|according to|(?:a )?former (?:buyer|tenant|employee|owner)|"
-    r"contactez|dossier à|courrier à|au nom de|unterlagen an|ansprechpartner(?:in)? ist|ausgestellt für|im namen von|escribir a|carta a|a nombre de|dirigirse a)"
-    rf"[ \t]*[:,]?[ \t]+{_TITLE}(?P<name>{_NAME})",
-    re.I,
+    r"contactez|dossier à|courrier à|au nom de|unterlagen an|ansprechpartner(?:in)? ist|ausgestellt für|im namen von|escribir a|carta a|a nombre de|dirigirse a)(?=[ \t:,])"
 )
-_CUE_AFTER = re.compile(r"[ \t]+can be reached\b|[ \t]*\(ID\b|[ \t]+signed the waiver\b|[ \t]+(?:lives at|wrote from|est joignable|ist erreichbar)\b", re.I)
+_NAMED = re.compile(rf"[ \t]*[:,]?[ \t]+{_TITLE}(?P<name>{_NAME})", re.I)
+_BEHIND = re.compile(r"can be reached\b|\(id\b|signed the waiver\b|lives at\b|wrote from\b|est joignable\b|ist erreichbar\b")
 _ENDS = re.compile(rf"(?<![^\W_])(?P<name>{_NAME})$", re.I)
 _PAIR = re.compile(rf"(?<![^\W_])(?P<first>{_UP})(?=(?P<rest>(?:[ ][A-Z]\.){{0,2}}[ ]{_UP})(?![^\W_]))")
 
@@ -136,8 +142,12 @@ def details(text: str) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of the personal details of a text, in order and without overlap, as offsets of the text itself."""
     norm, begin, end = deobfuscate(text)
     found: list[tuple[int, int, int, str]] = []
-    if "@" in norm:
-        found += [(0, *m.span(), "email") for m in _EMAIL.finditer(norm)]
+    at = norm.find("@")
+    while at >= 0:
+        local, domain = _LOCAL.search(norm, max(0, at - 100), at), _DOMAIN.match(norm, at + 1)
+        if local and domain:
+            found.append((0, local.start(), domain.end(), "email"))
+        at = norm.find("@", at + 1)
     for must, layout in _ADDRESSES:
         if must is None or must in norm:
             found += [(1, *m.span(), "address") for m in layout.finditer(norm)]
@@ -146,9 +156,18 @@ def details(text: str) -> list[tuple[int, int, str]]:
         sure = re.fullmatch(r"\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]", m[0])
         if sure or _ID_CUE.search(norm, max(0, m.start() - 60), m.start()) or _ID_AFTER.search(norm[m.end() : m.end() + 60]):
             found.append((3, *m.span(), "id_number"))
-    found += [(4, *m.span("name"), "name") for m in _BEFORE.finditer(norm) if _is_name(m["name"], True)]
-    for cue in _CUE_AFTER.finditer(norm):
-        m = _ENDS.search(norm, max(0, cue.start() - 80), cue.start())
+    low = norm.lower()
+    if len(low) != len(norm):  # a few letters have no lower case of one character
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in norm)
+    for cue in _BEFORE.finditer(low):
+        m = _NAMED.match(norm, cue.end())
+        if m and _is_name(m["name"], True):
+            found.append((4, *m.span("name"), "name"))
+    for cue in _BEHIND.finditer(low):
+        stop = cue.start()
+        while stop and norm[stop - 1] in " \t":
+            stop -= 1
+        m = _ENDS.search(norm, max(0, stop - 80), stop)
         if m and _is_name(m["name"], True):
             found.append((4, *m.span("name"), "name"))
     for m in _PAIR.finditer(norm):
