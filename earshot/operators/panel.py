@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.functions import keys, text as T
+from earshot.storage import stage
 
 SCORES = ["lm_positive_score", "lm_negative_score", "lm_net_score", "lm_uncertainty_score", "vader_compound", "vader_pos", "vader_neg", "vader_neu"]
 MANAGEMENT = ["CEO", "CFO", "COO", "CTO"]
@@ -136,8 +137,15 @@ def select_features(df: DataFrame, prefixes: tuple[str, ...], least: float) -> l
 
 
 def percentile_rank(df: DataFrame, value: str) -> DataFrame:
-    """Adds the share (in per cent) of rows strictly below each row's value, by counts of distinct values: the ordered pass is over those, not the rows."""
+    """Adds ``percentile``: the share (in per cent) of rows strictly below each row's value, nulls left out.
+
+    Counts per distinct value are ranged into ordered partitions; each sums its
+    own, and the totals of the partitions before it are added, so no task sees all values.
+    """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    over = Window.orderBy(value)
-    below = counts.withColumn("_below", F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
-    return df.join(below.select(value, (F.coalesce("_below", F.lit(0)) * 100.0 / F.col("_all")).alias("percentile")), value)
+    ranged = stage(counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id()))
+    over = lambda *by: Window.partitionBy(*by).orderBy(value if by else "_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("_p").agg(F.sum("_n").alias("_t"))  # one row per partition
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_t").over(over()), F.lit(0))).withColumn("_all", F.sum("_t").over(Window.partitionBy()))
+    below = ranged.join(F.broadcast(parts), "_p").withColumn("_below", F.col("_before") + F.coalesce(F.sum("_n").over(over("_p")), F.lit(0)))
+    return df.join(below.select(value, (F.col("_below") * 100.0 / F.col("_all")).alias("percentile")), value)
