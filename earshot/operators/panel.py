@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.functions import keys, text as T
+from earshot.operators import risk
 from earshot.storage import stage
 
 SCORES = ["lm_positive_score", "lm_negative_score", "lm_net_score", "lm_uncertainty_score", "vader_compound", "vader_pos", "vader_neg", "vader_neu"]
+FINBERT = ["finbert_positive", "finbert_negative", "finbert_neutral"]
 MANAGEMENT = ["CEO", "CFO", "COO", "CTO"]
 SPEAKS_FOR_COMPANY = "(?i)CEO|CFO|COO|CTO|VP|Director|President"
 
@@ -114,17 +116,71 @@ def derived_features(df: DataFrame) -> DataFrame:
     )
 
 
-def feature_panel(chunks: DataFrame, risk: DataFrame, market: DataFrame) -> DataFrame:
-    """One row per ticker and quarter: sentiment, risk, momentum, derived features and market reaction.
+def call_features(chunks: DataFrame, by: list[str]) -> DataFrame:
+    """``call_*``: readability, forward-looking share and specificity of each call's whole text, as ``functions.text`` has them for one text.
 
-    ``risk`` has ``total_risk_count`` by ticker and quarter, ``market`` one row per
-    key. Each input is aggregated on its key before the joins, so all three share
-    one hash partitioning.
+    Chunks are joined by blanks in order of index and id; null texts are left out.
+    Everything read more than once is held, and syllables are counted by patterns
+    over all words at once (``<word><word>``), not word by word.
     """
-    p = sentiment_panel(keyed(chunks)).join(risk, ["ticker", "quarter"], "left")
-    p = p.withColumn("mean_lm_net_score_momentum", momentum(p, "mean_lm_net_score")).withColumn("risk_delta", momentum(p, "total_risk_count"))
+    hold = risk._hold
+    g = chunks.filter("text is not null").withColumn("_o", F.struct("chunk_index", "chunk_id")).groupBy(*by).agg(call_text(chunks, by, "_o").alias("_t"))
+    x = hold(g, _low=F.lower("_t"), _s=F.transform(T.sentences(F.col("_t")), F.lower), _w=T.words(F.col("_t")))
+    x = hold(x, _v=F.concat(F.lit("<"), F.regexp_replace(F.concat(F.array_join("_w", "><"), F.lit(">")), "e+>", ">")), _n=F.size("_w"), _ns=F.size("_s"))
+    count = lambda p, of="_t": F.regexp_count(of, F.lit(p))
+    x = hold(
+        x, _syl=count("[aeiou]+", "_v") + count("<[^aeiou>]*>", "_v"), _long=count("<[^aeiou>]*[aeiou]+[^aeiou>]+[aeiou]+[^aeiou>]+[aeiou]", "_v"), _chars=F.length(F.array_join("_w", "")), _kinds=F.size(F.array_distinct("_w")),
+        _num=count(T.NUMBER), _usd=count(T.DOLLAR), _pct=count(T.PERCENT), _bps=count(T.BASIS_POINTS), _fls=F.size(F.filter("_s", lambda s: T.contains_any(s, T.FLS_KEYWORDS))),
+    )
+    n, ns = F.col("_n"), F.col("_ns")
+    zero = lambda c: F.when((ns > 0) & (n > 0), c).otherwise(F.lit(0.0))
+    some = F.greatest(ns, F.lit(1))
+    return x.select(
+        *by,
+        zero(0.4 * (n / ns + 100 * F.col("_long") / n)).alias("call_fog_index"),
+        zero(0.39 * (n / ns) + 11.8 * F.col("_syl") / n - 15.59).alias("call_flesch_kincaid"),
+        zero(n / ns).alias("call_avg_sentence_length"),
+        zero(F.col("_chars") / n).alias("call_avg_word_length"),
+        zero(F.col("_kinds") / n).alias("call_vocab_richness"),
+        F.when(ns > 0, F.col("_fls") / ns).otherwise(F.lit(0.0)).alias("call_fls_ratio"),
+        F.when(ns > 0, F.size(F.filter(F.array(*map(F.lit, T.FLS_KEYWORDS)), lambda k: F.contains(F.col("_low"), k)))).otherwise(F.lit(0)).alias("call_fls_count"),
+        (F.col("_num") / some).alias("call_numbers_per_sentence"),
+        F.col("_usd").alias("call_dollar_mentions"),
+        (F.col("_pct") + F.col("_bps")).alias("call_percent_mentions"),
+        ((F.col("_num") + 2 * F.col("_usd") + 2 * F.col("_pct") + 2 * F.col("_bps")) / some).alias("call_specificity_score"),
+    )
+
+
+def call_risk(chunks: DataFrame, by: list[str]) -> DataFrame:
+    """Detections that aren't negated, mean intensity over all chunks (0 for one without detection), and distinct categories of each call."""
+    per = risk.rollup(risk.detect(chunks.filter("text is not null")), ["chunk_id", *by])
+    found = per.groupBy(*by).agg(F.sum("risk_count").alias("_n"), F.sum("risk_intensity").alias("_i"), F.size(F.array_distinct(F.flatten(F.collect_list("categories")))).alias("_c"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return chunks.groupBy(*by).agg(F.count("*").alias("_chunks")).join(found, by, "left").select(*by, zero("_n").alias("total_risk_count"), (zero("_i") / F.col("_chunks")).alias("avg_risk_intensity"), zero("_c").alias("num_risk_categories"))
+
+
+def feature_panel(chunks: DataFrame, market: DataFrame) -> DataFrame:
+    """One row per ticker and quarter: sentiment, risk, text and question-and-answer features, momentum, derived features and market reaction.
+
+    ``market`` has one row per key. Scores and answers count every row of
+    ``chunks``; risk and text take each ``chunk_id`` once, the one ingested first.
+    Each input is aggregated on its key before the joins, so all share one hash
+    partitioning.
+    """
+    by, x = ["ticker", "quarter"], keyed(chunks)
+    once = x.withColumn("_r", F.row_number().over(Window.partitionBy("chunk_id").orderBy("ingested_at"))).filter("_r = 1")
+    once = stage(once.select(*by, "chunk_id", "chunk_index", "text"))
+    finbert = x.groupBy(*by).agg(*[F.avg(number(c)).alias(f"mean_{c}") for c in FINBERT], F.max(F.coalesce(F.col("section") == "qa", F.lit(False))).alias("_answers"))
+    p = sentiment_panel(x)
+    for part in (finbert, call_risk(once, by), call_features(once, by), qa_dynamics(x, by)):
+        p = p.join(part, by, "left")
+    for c in ("qa_pronoun_shift", "qa_specificity_drop"):  # without answers there is nothing to compare
+        p = p.withColumn(c, F.when(F.col("_answers"), F.col(c)).otherwise(0.0))
+    for c in ("mean_lm_net_score", "mean_vader_compound"):
+        p = p.withColumn(f"{c}_momentum", momentum(p, c))
+    p = p.withColumn("risk_delta", momentum(p, "total_risk_count")).drop("_answers")
     p = derived_features(p).withColumn("risk_sentiment_interaction", F.col("mean_lm_net_score") * F.col("total_risk_count"))
-    return p.join(market, ["ticker", "quarter"], "left")
+    return p.join(market, by, "left")
 
 
 def select_features(df: DataFrame, prefixes: tuple[str, ...], least: float) -> list[str]:

@@ -138,12 +138,8 @@ def union_schema_merge(spark, d):
 
 
 def feature_panel(spark, d):
-    x = _chunks(spark, d)
-    risk = x.groupBy("ticker", "quarter").agg(F.sum(F.when(F.col("text").rlike("(?i)currency|shortage|congestion"), 1).otherwise(0)).alias("total_risk_count"))
-    m = _market(spark, d).select("ticker", "quarter", "abnormal_ret_1d")
-    p = panel.feature_panel(table(spark, d, CH), risk, m)
-    keep = ["mean_lm_net_score", "mean_lm_net_score_momentum", "sentiment_divergence", "qa_weighted_sentiment", "negative_emphasis", "neg_pos_ratio", "uncertainty_adj_sentiment", "mgmt_analyst_divergence", "risk_sentiment_interaction", "abnormal_ret_1d"]
-    return p.select("ticker", "quarter", "total_risk_count", "risk_delta", *[F.round(c, 9).alias(c) for c in keep])
+    p = panel.feature_panel(table(spark, d, CH), _market(spark, d))
+    return p.select(*[r9(c) if t == "double" else c for c, t in p.dtypes])
 
 
 def feature_coverage(spark, d):
