@@ -27,6 +27,17 @@ def quarter_index(q: Column) -> Column:
     return F.when(q.rlike(r"^\d{4}Q[1-4]$"), F.substring(q, 1, 4).cast("int") * 4 + F.substring(q, 6, 1).cast("int") - 1)
 
 
+def readable_ticker(t: Column) -> Column:
+    """Whether a normalized ticker has a ticker's shape; false for null."""
+    return F.coalesce(t.rlike(r"^[A-Z][A-Z0-9]{0,5}(?:\.[A-Z]{1,2})?$"), F.lit(False))
+
+
+def canonical(df: DataFrame) -> DataFrame:
+    """``df`` with ``ticker`` and ``quarter`` normalized, where it has them."""
+    of = {"ticker": normalize_ticker, "quarter": normalize_quarter}
+    return df.withColumns({c: f(F.col(c)) for c, f in of.items() if c in df.columns})
+
+
 def quarter_text(i: Column) -> Column:
     return F.concat(F.floor(i / 4).cast("int").cast("string"), F.lit("Q"), (F.pmod(i, F.lit(4)) + 1).cast("string"))
 

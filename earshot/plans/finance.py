@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from earshot.functions import lexicons
+from earshot.functions import keys, lexicons
 from earshot.operators import market, panel, relational, risk, stats
 from earshot.plans.panel import CH, FM, MR, _N, keyed_sql
 from earshot.plans.text import L
@@ -132,8 +132,10 @@ def event_study_t(spark, d):
 
 
 def portfolio_backtest(spark, d):
-    x = table(spark, d, FM).filter(F.col("quarter").rlike("^[0-9]{4}Q[1-4]$"))
-    return stats.backtest(x, "quarter", "mean_lm_net_score", "abnormal_ret_1d").select("quarter", "n", r9("long"), r9("short"), r9("spread"), r9("cum_long"), r9("cum_short"))
+    """Under canonical quarters; rows whose quarter can't be read have no place in time and are only counted, under their text."""
+    x, read = keys.canonical(table(spark, d, FM)), keys.quarter_index(F.col("quarter")).isNotNull()
+    b = stats.backtest(x.filter(read), "quarter", "mean_lm_net_score", "abnormal_ret_1d").select("quarter", "n", r9("long"), r9("short"), r9("spread"), r9("cum_long"), r9("cum_short"))
+    return b.unionByName(x.filter(~read).groupBy("quarter").agg(F.count("*").alias("n")), allowMissingColumns=True)
 
 
 def cumulative_abnormal_return(spark, d):

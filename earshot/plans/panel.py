@@ -101,18 +101,35 @@ def panel_market_join(spark, d):
     return f.join(_market(spark, d).select("ticker", "quarter", F.col("abnormal_ret_5d").alias("car_5d")), ["ticker", "quarter"], "left").select("ticker", "quarter", r9(panel.number("mean_lm_net_score"), "net"), r9("car_5d"))
 
 
+def _typed(df):
+    """``df`` under canonical keys, with the keys as typed beside them."""
+    return keys.canonical(df.withColumn("typed_ticker", F.col("ticker")).withColumn("typed_quarter", F.col("quarter")))
+
+
 def incremental_anti_join(spark, d):
-    return R.unprocessed(table(spark, d, "manifest"), table(spark, d, FM), ["ticker", "quarter"]).select("file_path", "ticker", "quarter")
+    """Files whose canonical key isn't in the panel; keys that can't be read are never done, so they stay. Keys are shown as typed."""
+    return R.unprocessed(_typed(table(spark, d, "manifest")), keys.canonical(table(spark, d, FM)), ["ticker", "quarter"]).select("file_path", F.col("typed_ticker").alias("ticker"), F.col("typed_quarter").alias("quarter"))
 
 
 def semi_join_market(spark, d):
-    m = table(spark, d, MR).select("ticker", "quarter").distinct()
-    return table(spark, d, "manifest").join(m, ["ticker", "quarter"], "left_semi").select("file_path", "ticker", "quarter")
+    """Files with a market reaction under their canonical key (``matched``), and those whose key can't be read (``matched`` null). Keys are shown as typed."""
+    m = keys.canonical(table(spark, d, MR).select("ticker", "quarter")).distinct().withColumn("matched", F.lit(True))
+    x = _typed(table(spark, d, "manifest")).join(m, ["ticker", "quarter"], "left")
+    unread = ~keys.readable_ticker(F.col("ticker")) | keys.quarter_index(F.col("quarter")).isNull()
+    return x.filter(F.col("matched") | unread).select("file_path", F.col("typed_ticker").alias("ticker"), F.col("typed_quarter").alias("quarter"), "matched")
+
+
+def _companies(spark, d):
+    """One sector per canonical ticker; of several spellings the canonical one counts."""
+    c = table(spark, d, "companies").select(keys.normalize_ticker(F.col("ticker")).alias("ticker"), "sector", F.col("ticker").alias("typed"))
+    return R.keep_one(c.filter("ticker is not null"), ["ticker"], [F.desc(F.col("typed") == F.col("ticker")), F.asc_nulls_last("sector"), F.col("typed")]).drop("typed")
 
 
 def target_semi_join(spark, d):
-    target = table(spark, d, "companies").filter("sector = 'Energy'").select("ticker")
-    return table(spark, d, CH).join(target, "ticker", "left_semi").groupBy("ticker").agg(F.count("*").alias("n"))
+    """Chunks per canonical ticker of the target companies (``matched``), and per ticker that can't be read (``matched`` null)."""
+    target = _companies(spark, d).filter("sector = 'Energy'").select("ticker", F.lit(True).alias("matched"))
+    n = keys.canonical(table(spark, d, CH).select("ticker")).groupBy("ticker").agg(F.count("*").alias("n"))
+    return n.join(target, "ticker", "left").filter(F.col("matched") | ~keys.readable_ticker(F.col("ticker"))).select("ticker", "n", "matched")
 
 
 def coverage_matrix(spark, d):
@@ -165,7 +182,8 @@ def median_imputation(spark, d):
 
 
 def company_sector_rollup(spark, d):
-    return table(spark, d, FM).join(table(spark, d, "companies").select("ticker", "sector"), "ticker").groupBy("sector").agg(F.count("*").alias("n"), r9(F.avg(panel.number("mean_vader_compound")), "vader"))
+    """Rows per sector under canonical tickers; those of no known company are under a null sector."""
+    return keys.canonical(table(spark, d, FM)).join(_companies(spark, d), "ticker", "left").groupBy("sector").agg(F.count("*").alias("n"), r9(F.avg(panel.number("mean_vader_compound")), "vader"))
 
 
 _N = lambda c: f"CASE WHEN {c}::VARCHAR = 'nan' THEN NULL ELSE {c} END"  # noqa: E731  (isnan is folded to false from a file's statistics)

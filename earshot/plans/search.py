@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from earshot.functions import text as T
+from earshot.functions import keys, text as T
 from earshot.operators import ingest, ml, panel, relational, retrieval as R
 from earshot.plans.panel import _FIRST, CH, FM, keyed_sql
 from earshot.plans.text import TOK, WC
@@ -94,7 +94,10 @@ def direction_models(spark, d):
 
 
 def walk_forward(spark, d):
-    return ml.walk_forward(table(spark, d, FM).filter(F.col("quarter").rlike("^[0-9]{4}Q[1-4]$")), FEATURES, "abnormal_ret_1d", "quarter")
+    """Under canonical quarters; rows whose quarter can't be read are only counted, under a null split."""
+    x, read = keys.canonical(table(spark, d, FM)), keys.quarter_index(F.col("quarter")).isNotNull()
+    unread = x.filter(~read).agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(None).cast("int").alias("split"), "n", F.lit(None).cast("double").alias("r2"))
+    return ml.walk_forward(x.filter(read), FEATURES, "abnormal_ret_1d", "quarter").unionByName(unread)
 
 
 def return_models(spark, d):
