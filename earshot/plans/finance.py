@@ -158,7 +158,7 @@ def newey_west(spark, d):
 
 def bootstrap_ci(spark, d):
     x = table(spark, d, MR).withColumn("k", F.concat_ws("|", "ticker", "quarter", F.col("earnings_date").cast("string"), F.col("ret_1d").cast("string")))
-    return stats.bootstrap_mean(x, "abnormal_ret_1d", "k")
+    return stats.bootstrap_mean(x, "abnormal_ret_1d", "k", resamples=1000)
 
 
 QUERIES = {

@@ -90,7 +90,7 @@ FEATURES = ["mean_lm_net_score", "mean_vader_compound", "mgmt_sentiment", "analy
 
 
 def direction_models(spark, d):
-    return ml.direction_models(table(spark, d, FM), FEATURES, "abnormal_ret_1d", folds=3, trees=20)
+    return ml.direction_models(table(spark, d, FM), FEATURES, "abnormal_ret_1d", folds=5, trees=200, rounds=200)
 
 
 def walk_forward(spark, d):
@@ -101,12 +101,12 @@ def walk_forward(spark, d):
 
 
 def return_models(spark, d):
-    return ml.return_models(table(spark, d, FM), FEATURES, "abnormal_ret_1d", folds=2, trees=20)
+    return ml.return_models(table(spark, d, FM), FEATURES, "abnormal_ret_1d", trees=100, rounds=100)
 
 
 def role_classifier(spark, d):
     x = panel.keyed(table(spark, d, CH)).withColumn("group", F.when(F.col("role").isin("CEO", "CFO", "COO", "CTO", "VP"), "Management").when(F.col("role").isin("IR", "Analyst", "Operator"), F.col("role")))
-    return ml.role_classifier(x, "text", "group", "chunk_id", buckets=1024)
+    return ml.role_classifier(x, "text", "group", "chunk_id", terms=5000)
 
 
 QUERIES = {
