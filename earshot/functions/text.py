@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values that must equal those of the measures reproduced here, in their usual order.
-FLS_KEYWORDS = (
-    "will expect expects expected expecting anticipate anticipates anticipated anticipating guidance outlook forecast project projected projecting plan plans planned planning believe believes "
-    "intend intends estimate estimates estimated target targets goal goals aim aims predict predicts foresee foresees future upcoming pipeline forward-looking"
-).split() + ["going forward", "next quarter", "next year", "fiscal year"]
+FLS_KEYWORDS = [
+    "will", "expect", "expects", "expected", "expecting", "anticipate", "anticipates", "anticipated", "anticipating", "guidance", "outlook", "forecast", "project", "projected", "projecting", "plan", "plans", "planned", "planning",
+    "believe", "believes", "intend", "intends", "estimate", "estimates", "estimated", "target", "targets", "goal", "goals", "aim", "aims", "predict", "predicts", "foresee", "foresees", "going forward", "next quarter", "next year",
+    "fiscal year", "forward-looking", "future", "upcoming", "pipeline",
+]
 FILLERS = ["um", "uh", "you know", "sort of", "kind of", "basically", "actually", "honestly", "frankly", "obviously", "clearly", "essentially", "effectively", "literally"]
 DEFLECTIONS = [
     "as i mentioned", "as we mentioned", "as i said", "as we said", "as i noted", "as we noted", "as discussed", "i think i addressed", "we already covered", "let me come back to", "let me get back to",
@@ -55,9 +56,19 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{M}\p{N}_]+"))
 
 
+def all_sentences(text: Column) -> Column:
+    """Every piece of the text between ends of sentences (``.``, ``!`` or ``?`` before white space), however short."""
+    return F.split(text, r"(?<=[.!?])\s+")
+
+
 def sentences(text: Column, min_length: int = 10) -> Column:
-    """Sentences longer than ``min_length`` characters; a sentence ends in ``.``, ``!`` or ``?`` before white space."""
-    return F.filter(F.split(strip(text), r"(?<=[.!?])\s+"), lambda s: F.length(s) > min_length)
+    """Sentences of the stripped text longer than ``min_length`` characters."""
+    return F.filter(all_sentences(strip(text)), lambda s: F.length(s) > min_length)
+
+
+def stripped_sentences(text: Column, min_length: int = 10) -> Column:
+    """Sentences stripped one by one; those longer than ``min_length`` characters then."""
+    return F.filter(F.transform(all_sentences(text), strip), lambda s: F.length(s) > min_length)
 
 
 def sentence_count(text: Column) -> Column:
@@ -70,10 +81,10 @@ def syllables(word: Column) -> Column:
 
 
 def count_any(text: Column, phrases: list[str]) -> Column:
-    """Occurrences of all phrases as substrings, each counted on its own."""
+    """Occurrences of all phrases as substrings, each counted on its own; most phrases are ruled out by a plain search."""
     total = F.lit(0)
     for p in phrases:
-        total = total + F.regexp_count(text, F.lit("\\Q" + p + "\\E"))
+        total = total + F.when(F.contains(text, F.lit(p)), F.regexp_count(text, F.lit("\\Q" + p + "\\E"))).otherwise(0)
     return total
 
 
@@ -82,34 +93,50 @@ def contains_any(text: Column, phrases: list[str]) -> Column:
 
 
 def lexicon_hits(found: Column, lexicon: list[str]) -> Column:
-    return F.size(F.array_intersect(found, F.array(*map(F.lit, lexicon))))
+    """How many of the distinct tokens are in the lexicon: a look-up in one hash set per token, however long the list."""
+    return F.size(F.filter(found, lambda w: w.isin(list(lexicon))))
 
 
 def lexicon_scores(text: Column, positive: list[str], negative: list[str], uncertain: list[str]) -> Column:
     """Struct of positive, negative, net and uncertainty shares of a text's distinct whitespace tokens."""
-    seen = F.array_distinct(tokens(text))
-    n = F.greatest(F.size(seen), F.lit(1))
-    p, m, u = (lexicon_hits(seen, x) for x in (positive, negative, uncertain))
-    return F.struct((p / n).alias("pos"), (m / n).alias("neg"), ((p - m) / n).alias("net"), (u / n).alias("unc"))
+
+    def shares(seen: Column) -> Column:
+        counts = F.struct(F.greatest(F.size(seen), F.lit(1)).alias("n"), *[lexicon_hits(seen, x).alias(c) for c, x in (("p", positive), ("m", negative), ("u", uncertain))])
+        return let(counts, lambda c: F.struct((c["p"] / c["n"]).alias("pos"), (c["m"] / c["n"]).alias("neg"), ((c["p"] - c["m"]) / c["n"]).alias("net"), (c["u"] / c["n"]).alias("unc")))
+
+    return let(F.array_distinct(tokens(text)), shares)
 
 
 def readability(text: Column) -> Column:
-    """Struct of fog, flesch_kincaid, sentence_length, word_length and richness; zeros where there is no sentence or word."""
-    w, ns = words(text), F.size(sentences(text))
-    n = F.size(w)
-    long = F.size(F.filter(w, lambda x: syllables(x) >= 3))
-    syl = F.aggregate(w, F.lit(0), lambda a, x: a + syllables(x))
-    chars = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
-    per = n / ns
-    ok = (ns > 0) & (n > 0)
-    zero = lambda c: F.when(ok, c).otherwise(F.lit(0.0))
-    return F.struct(
-        zero(0.4 * (per + 100 * long / n)).alias("fog"),
-        zero(0.39 * per + 11.8 * syl / n - 15.59).alias("flesch_kincaid"),
-        zero(per).alias("sentence_length"),
-        zero(chars / n).alias("word_length"),
-        zero(F.size(F.array_distinct(w)) / n).alias("richness"),
-    )
+    """Struct of fog, flesch_kincaid, sentence_length, word_length and richness; zeros where there is no sentence or word.
+
+    Words are extracted once; syllables are counted by patterns over all of them at
+    once (``<word><word>`` without final e's), not word by word.
+    """
+
+    def measures(x: Column) -> Column:
+        w, ns, v = x["w"], x["ns"], x["v"]
+        n, count = F.size(w), lambda p: F.regexp_count(v, F.lit(p))
+        sums = F.struct(
+            n.alias("n"), ns.alias("ns"), (count("[aeiou]+") + count("<[^aeiou>]*>")).alias("syl"), count("<[^aeiou>]*[aeiou]+[^aeiou>]+[aeiou]+[^aeiou>]+[aeiou]").alias("long"),
+            F.length(F.array_join(w, "")).alias("chars"), F.size(F.array_distinct(w)).alias("kinds"),
+        )
+        return let(sums, out)
+
+    def out(m: Column) -> Column:
+        n, per = m["n"], m["n"] / m["ns"]
+        zero = lambda c: F.when((m["ns"] > 0) & (n > 0), c).otherwise(F.lit(0.0))
+        return F.struct(
+            zero(0.4 * (per + 100 * m["long"] / n)).alias("fog"),
+            zero(0.39 * per + 11.8 * m["syl"] / n - 15.59).alias("flesch_kincaid"),
+            zero(per).alias("sentence_length"),
+            zero(m["chars"] / n).alias("word_length"),
+            zero(m["kinds"] / n).alias("richness"),
+        )
+
+    marked = lambda w: F.regexp_replace(F.concat(F.lit("<"), F.array_join(w, "><"), F.lit(">")), "e+>", ">")
+    ns = F.size(sentences(text))
+    return let(words(text), lambda w: let(F.struct(w.alias("w"), ns.alias("ns"), marked(w).alias("v")), measures))
 
 
 def forward_looking(text: Column, keywords: list[str] = FLS_KEYWORDS) -> Column:
@@ -139,10 +166,23 @@ def citations(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.try_cast("int"))))
 
 
-#: Role by words of a title, first that fits. Fixed values, in order of precedence.
+#: Role by words of a title, first that fits. Fixed values, in order of precedence: they must equal those of the measures reproduced here.
 ROLE_WORDS = (
-    ("CEO", ["chief executive", "ceo", "president and ceo"]), ("CFO", ["chief financial", "cfo", "finance officer"]), ("COO", ["chief operating", "coo"]), ("CTO", ["chief technology", "cto"]),
-    ("VP", ["vice president", "vp", "svp", "evp"]), ("IR", ["investor relations", "ir "]), ("Analyst", ["analyst", "research", "securities", "capital", "bank"]), ("Operator", ["operator", "conference call"]),
+    ("CEO", ["chief executive", "ceo", "president and ceo"]),
+    ("CFO", ["chief financial", "cfo", "finance officer"]),
+    ("COO", ["chief operating", "coo"]),
+    ("CTO", ["chief technology", "cto"]),
+    ("VP", ["vice president", "vp", "svp", "evp"]),
+    ("IR", ["investor relations", "ir "]),
+    (
+        "Analyst",
+        [
+            "analyst", "research", "securities", "capital", "bank", "morgan", "goldman", "barclays", "citi", "jpmorgan", "ubs", "wells fargo", "deutsche", "credit suisse", "bernstein", "piper", "canaccord", "raymond james", "cowen",
+            "needham", "oppenheimer", "baird", "evercore", "keybanc", "mizuho", "bmo", "rbc", "loop capital", "moffett", "moffettnathanson", "jefferies", "wolfe", "stifel", "truist", "wedbush", "macquarie", "scotiabank", "william blair",
+            "susquehanna", "rosenblatt",
+        ],
+    ),
+    ("Operator", ["operator", "conference call"]),
 )
 
 
@@ -169,15 +209,32 @@ def qa_boundary(text: Column, cues: list[str] = QA_CUES) -> Column:
     return F.coalesce(F.least(*[F.when(a > 0, a) for a in at]), F.length(text) + 1)
 
 
-def strip_boilerplate(text: Column) -> Column:
-    """Without safe-harbour passages and recording, copyright and rights notices; blank lines collapsed."""
-    for p in (
-        r"(?is)safe\s+harbor.{0,500}?(?=\n\n|\n(?-i:[A-Z][a-z]))",
-        r"(?is)forward[- ]looking\s+statements?.{0,500}?(?=\n\n|\n(?-i:[A-Z][a-z]))",
-        r"(?i)this\s+(?:call|transcript)\s+(?:is\s+)?(?:being\s+)?recorded.*?\n",
-        r"(?i)copyright\s+©?.*?\n",
-        r"(?i)all\s+rights\s+reserved.*?\n",
-    ):
+def section_cue(text: Column, cues: list[str] = QA_CUES) -> Column:
+    """``qa`` for a text with any of the cues, else ``prepared_remarks``."""
+    return F.when(contains_any(F.lower(text), cues), F.lit("qa")).otherwise(F.lit("prepared_remarks"))
+
+
+def turn_section(turn: Column, text: Column, boundary: Column, least: int = 100) -> Column:
+    """``qa`` for a turn whose first ``least`` characters occur at or after the boundary of its text, else ``prepared_remarks``; a shorter turn counts as at the beginning."""
+    at = F.when(F.length(turn) >= least, F.call_function("locate", F.substring(turn, 1, least), text)).otherwise(F.lit(1))
+    return F.when(at >= boundary, F.lit("qa")).otherwise(F.lit("prepared_remarks"))
+
+
+#: What notices look like that aren't part of a call. Fixed values, in order: they must equal those of the measures reproduced here.
+BOILERPLATE = [
+    r"(?is)safe\s+harbor.{0,500}?(?=\n\n|\n(?-i:[A-Z][a-z]))",
+    r"(?is)forward[- ]looking\s+statements?.{0,500}?(?=\n\n|\n(?-i:[A-Z][a-z]))",
+    r"(?i)this\s+(?:call|transcript)\s+(?:is\s+)?(?:being\s+)?recorded.*?\n",
+    r"(?i)copyright\s+©?.*?\n",
+    r"(?i)all\s+rights\s+reserved.*?\n",
+    r"(?i)(?:the\s+)?motley\s+fool.*?\n",
+    r"(?i)fool\.com.*?\n",
+]
+
+
+def strip_boilerplate(text: Column, patterns: list[str] = BOILERPLATE) -> Column:
+    """Without safe-harbour passages and recording, copyright, rights and publisher's notices; blank lines collapsed."""
+    for p in patterns:
         text = F.regexp_replace(text, p, "")
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
@@ -187,10 +244,12 @@ def highlight(text: Column, lexicons: list[tuple[str, list[str]]], limit: int |
     body = text if limit is None else F.substring(text, 1, limit)
 
     def mark(w: Column) -> Column:
-        core = F.regexp_replace(F.lower(w), r"^[^a-z0-9]+|[^a-z0-9]+$", "")
+        return let(F.regexp_replace(F.lower(w), r"^[^a-z0-9]+|[^a-z0-9]+$", ""), lambda core: marked(w, core))
+
+    def marked(w: Column, core: Column) -> Column:
         out = None
         for label, lex in lexicons:
-            hit, new = F.array_contains(F.array(*map(F.lit, lex)), core), F.concat(F.lit(f"<{label}>"), w, F.lit(f"</{label}>"))
+            hit, new = core.isin(list(lex)), F.concat(F.lit(f"<{label}>"), w, F.lit(f"</{label}>"))
             out = F.when(hit, new) if out is None else out.when(hit, new)
         return out.otherwise(w)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import keys, text as T
 from earshot.operators import risk
+from earshot.operators.relational import keep_one
 from earshot.storage import stage
 
 SCORES = ["lm_positive_score", "lm_negative_score", "lm_net_score", "lm_uncertainty_score", "vader_compound", "vader_pos", "vader_neg", "vader_neu"]
@@ -32,6 +33,11 @@ def keyed(df: DataFrame) -> DataFrame:
     )
 
 
+def first_loads(chunks: DataFrame, key: str = "chunk_id", at: str = "ingested_at") -> DataFrame:
+    """One row per chunk: repeated loads have the same content, and the first load stays."""
+    return keep_one(chunks, [key], [F.col(at)])
+
+
 def mean_if(condition: Column, value: str) -> Column:
     return F.avg(F.when(condition, number(value)))
 
@@ -162,17 +168,15 @@ def call_risk(chunks: DataFrame, by: list[str]) -> DataFrame:
 def feature_panel(chunks: DataFrame, market: DataFrame) -> DataFrame:
     """One row per ticker and quarter: sentiment, risk, text and question-and-answer features, momentum, derived features and market reaction.
 
-    ``market`` has one row per key. Scores and answers count every row of
-    ``chunks``; risk and text take each ``chunk_id`` once, the one ingested first.
-    Each input is aggregated on its key before the joins, so all share one hash
-    partitioning.
+    ``market`` has one row per key. Each ``chunk_id`` counts once, as it was
+    ingested first. Each part is aggregated on its key before the joins, so all
+    share one hash partitioning.
     """
-    by, x = ["ticker", "quarter"], keyed(chunks)
-    once = x.withColumn("_r", F.row_number().over(Window.partitionBy("chunk_id").orderBy("ingested_at"))).filter("_r = 1")
-    once = stage(once.select(*by, "chunk_id", "chunk_index", "text"))
+    by = ["ticker", "quarter"]
+    x = stage(keyed(first_loads(chunks)).select(*by, "chunk_id", "chunk_index", "role", "section", "text", *SCORES, *FINBERT))
     finbert = x.groupBy(*by).agg(*[F.avg(number(c)).alias(f"mean_{c}") for c in FINBERT], F.max(F.coalesce(F.col("section") == "qa", F.lit(False))).alias("_answers"))
     p = sentiment_panel(x)
-    for part in (finbert, call_risk(once, by), call_features(once, by), qa_dynamics(x, by)):
+    for part in (finbert, call_risk(x, by), call_features(x, by), qa_dynamics(x, by)):
         p = p.join(part, by, "left")
     for c in ("qa_pronoun_shift", "qa_specificity_drop"):  # without answers there is nothing to compare
         p = p.withColumn(c, F.when(F.col("_answers"), F.col(c)).otherwise(0.0))

@@ -71,15 +71,21 @@ def heatmap(found: DataFrame, row: str, risks: dict[str, list[str]] = lexicons.R
     return found.filter("not negated").groupBy(row).pivot("category", sorted(risks)).count().fillna(0)
 
 
-def trends(found: DataFrame, by: list[str]) -> DataFrame:
-    kept = found.filter("not negated")
-    return kept.groupBy(*by, "category").agg(F.count("*").alias("n"), F.sum(F.when(F.col("severity") == "high", 1).otherwise(0)).alias("high"))
+def trends(found: DataFrame, by: list[str], chunks: DataFrame) -> DataFrame:
+    """Per key and category: detections and those of high severity, with the key's total and its mean intensity over all of ``chunks``; keys without a detection have no row."""
+    weight = F.create_map(*[F.lit(v) for kv in WEIGHT.items() for v in kv])[F.col("severity")]
+    n = found.filter("not negated").groupBy(*by, "category").agg(F.count("*").alias("n"), F.sum(F.when(F.col("severity") == "high", 1).otherwise(0)).alias("high"), F.sum(weight).alias("_w"))
+    whole = n.groupBy(*by).agg(F.sum("n").alias("total"), F.sum("_w").alias("_i")).join(chunks.groupBy(*by).agg(F.count("*").alias("_c")), by)
+    return n.drop("_w").join(whole.select(*by, "total", (F.col("_i") / F.col("_c")).alias("mean_intensity")), by)
 
 
 def summary(found: DataFrame, by: list[str], k: int = 5, order: list[str] = ["chunk_id", "at"]) -> DataFrame:  # noqa: B006
-    """The k most frequent categories per key with rank, count and the first snippet."""
-    kept = found.filter("not negated").groupBy(*by, "category").agg(F.count("*").alias("n"), F.min_by("snippet", F.struct(*order, "keyword")).alias("example"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "category"))
+    """The k most frequent categories per key with rank, count and the first snippet, and the key's total and detections by severity over all categories."""
+    of = lambda s: F.sum(F.when(F.col("severity") == s, 1).otherwise(0)).alias(s)
+    kept = found.filter("not negated").groupBy(*by, "category").agg(F.count("*").alias("n"), F.min_by("snippet", F.struct(*order, "keyword")).alias("example"), *[of(s) for s in WEIGHT])
+    key = Window.partitionBy(*by)  # a row per category
+    kept = kept.withColumns({"total": F.sum("n").over(key), **{s: F.sum(s).over(key) for s in WEIGHT}})
+    rank = F.row_number().over(key.orderBy(F.desc("n"), "category"))
     return kept.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
@@ -94,15 +100,24 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     return flat.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
-def semantic(df: DataFrame, vector: str, risky: DataFrame, safe: DataFrame, min_sim: float, min_diff: float, id_col: str) -> DataFrame:
+def semantic(df: DataFrame, vector: str, risky: DataFrame, safe: DataFrame, min_sim: float, min_diff: float, id_col: str, anchors: DataFrame | None = None) -> DataFrame:
     """``(id, category, sim, differential)`` of vectors nearer to a category's centroid than to its safe one by more than both thresholds.
 
     ``risky`` is ``(category, centroid)``, ``safe`` ``(category, safe_centroid)``: one row per category of a fixed taxonomy, so they are sent to every task.
+    With ``anchors`` ``(category, anchor, vector)``, the few examples that stand for each category, ``anchor`` is the one
+    nearest to the vector (the least anchor among equals, null for a category without any).
     """
-    both = F.broadcast(risky.join(safe, "category"))
-    x = df.select(id_col, vector).join(both)
+    both = risky.join(safe, "category")
+    if anchors is not None:
+        held = anchors.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("anchor", F.col("vector").alias("v")))).alias("_anchors"))
+        both = both.join(held, "category", "left")
+    x = df.select(id_col, vector).join(F.broadcast(both))
     x = x.withColumn("sim", cosine(F.col(vector), F.col("centroid"))).withColumn("differential", F.col("sim") - cosine(F.col(vector), F.col("safe_centroid")))
-    return x.filter((F.col("sim") > min_sim) & (F.col("differential") > min_diff)).select(id_col, "category", "sim", "differential")
+    x = x.filter((F.col("sim") > min_sim) & (F.col("differential") > min_diff))
+    if anchors is None:
+        return x.select(id_col, "category", "sim", "differential")
+    near = F.array_max(F.transform("_anchors", lambda a, i: F.struct(F.round(cosine(F.col(vector), a["v"]), 9).alias("s"), (-i).alias("i"), a["anchor"].alias("anchor"))))
+    return x.select(id_col, "category", "sim", "differential", near["anchor"].alias("anchor"))
 
 
 def merge_semantic(counts: DataFrame, found: DataFrame, key: str) -> DataFrame:

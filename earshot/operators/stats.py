@@ -5,20 +5,47 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from earshot.storage import stage
+
+def quantiles(df: DataFrame, names: list[str], points: list[float]) -> DataFrame:
+    """``(column, point, value)``: exact quantiles (linear interpolation) of each column, null and NaN left out.
+
+    Distinct values are counted by column and value, ranged into ordered partitions
+    that each sum their own, and only the two values around each quantile are
+    picked, so no task holds a column. A column without values has no row.
+    """
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value")) for c in names])).alias("x")).select("x.column", "x.value").filter("value is not null")
+    counts = long.groupBy("column", "value").agg(F.count("*").alias("_n"))
+    ranged = stage(counts.repartitionByRange("column", "value").withColumn("_p", F.spark_partition_id()))
+    parts = ranged.groupBy("column", "_p").agg(F.sum("_n").alias("_t"))  # a row per column and partition
+    before = Window.partitionBy("column").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0))).withColumn("_all", F.sum("_t").over(Window.partitionBy("column")))
+    own = Window.partitionBy("column", "_p").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    x = ranged.join(F.broadcast(parts), ["column", "_p"]).withColumn("_hi", F.col("_before") + F.sum("_n").over(own)).withColumn("_lo", F.col("_hi") - F.col("_n"))
+    x = x.withColumn("point", F.explode(F.array(*map(F.lit, points)))).withColumn("_at", F.col("point") * (F.col("_all") - 1))
+    holds = lambda at: (F.col("_lo") <= at) & (at < F.col("_hi"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    x = x.filter(holds(low) | holds(high))
+    pick = x.groupBy("column", "point").agg(F.max("_at").alias("_at"), F.max(F.when(holds(low), F.col("value"))).alias("_a"), F.max(F.when(holds(high), F.col("value"))).alias("_b"))
+    return pick.select("column", "point", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias("value"))
 
 
 def winsorize(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95, out: str = "winsorized") -> DataFrame:
     """Values held between two exact quantiles of the column (linear interpolation)."""
-    q = F.broadcast(df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q")))  # one row
-    return df.join(q).withColumn(out, F.when(F.col(value).isNotNull(), F.greatest(F.col("_q")[0], F.least(F.col("_q")[1], F.col(value))))).drop("_q")
+    at = quantiles(df, [value], [low, high])
+    q = F.broadcast(at.agg(F.min("value").alias("_a"), F.max("value").alias("_b")))  # one row
+    return df.join(q).withColumn(out, F.when(F.col(value).isNotNull(), F.greatest("_a", F.least("_b", F.col(value))))).drop("_a", "_b")
 
 
 def qcut(df: DataFrame, value: str, n: int, out: str = "bucket") -> DataFrame:
     """Bucket 0 to n - 1 by quantiles of the column, right-closed, equal edges merged; null stays null."""
-    points = [i / n for i in range(n + 1)]
-    e = F.broadcast(df.agg(F.array_distinct(F.percentile(value, F.array(*map(F.lit, points)))).alias("_e")))  # one row
+    at = quantiles(df, [value], [i / n for i in range(n + 1)])
+    e = F.broadcast(at.agg(F.array_sort(F.collect_set("value")).alias("_e")))  # one row of n + 1 values
     inner = F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))
     return df.join(e).withColumn(out, F.when(F.col(value).isNotNull(), F.size(F.filter(inner, lambda x: x < F.col(value))))).drop("_e")
 
@@ -32,16 +59,28 @@ def t_statistic() -> Column:
     return F.when((F.col("n") >= 3) & (F.col("sd") > 0), F.col("mean") / (F.col("sd") / F.sqrt("n")))
 
 
-def event_study(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(window, n, mean, sd, t)``: one-sample t of each return column, all in one pass; columns of fewer than 3 values have no t."""
+@F.pandas_udf(DoubleType())
+def _t_p(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([t_p_value(float(a), float(b)) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df)], dtype="float64")
+
+
+def event_study(df: DataFrame, columns: list[str], level: float = 0.05) -> DataFrame:
+    """``(window, n, mean, sd, t, p, significant)``: one-sample t of each return column, all in one pass; columns of fewer than 3 values have no t. ``p`` is two-sided, ``significant`` below ``level``."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("window"), F.nanvl(c, F.lit(None).cast("double")).alias("r")) for c in columns])).alias("x")).select("x.window", "x.r")
-    return long.groupBy("window").agg(*moments("r")).withColumn("t", t_statistic())
+    tested = long.groupBy("window").agg(*moments("r")).withColumn("t", t_statistic())  # a row per column
+    return tested.withColumn("p", _t_p("t", F.col("n") - 1)).withColumn("significant", F.col("p") < level)
 
 
 def portfolio_sort(df: DataFrame, feature: str, ret: str, n: int = 3) -> DataFrame:
-    """``(bucket, n, mean, sd, feature_mean)`` of a return by quantile buckets of a feature, rows with either missing left out."""
+    """``(bucket, n, mean, sd, feature_mean)`` of a return by quantile buckets of a feature, rows with either missing left out. Fewer than two rows a bucket give no result."""
     rows = df.select(F.nanvl(feature, F.lit(None).cast("double")).alias("f"), F.nanvl(ret, F.lit(None).cast("double")).alias("r")).dropna()
-    return qcut(rows, "f", n).groupBy("bucket").agg(*moments("r"), F.avg("f").alias("feature_mean"))
+    got = qcut(rows, "f", n).groupBy("bucket").agg(*moments("r"), F.avg("f").alias("feature_mean"))  # at most n rows
+    return got.withColumn("_all", F.sum("n").over(Window.partitionBy())).filter(F.col("_all") >= 2 * n).drop("_all")
+
+
+def bucket_label(bucket: Column, names: tuple[str, ...] = ("Low", "Mid", "High")) -> Column:
+    """The name of a bucket number, null beyond the names."""
+    return F.get(F.array(*map(F.lit, names)), bucket)
 
 
 def long_short(sorted_: DataFrame) -> DataFrame:
@@ -142,7 +181,9 @@ def ols(df: DataFrame, y: str, xs: list[str], lags: int | None = None, order: li
         lags = int(4 * (n / 100) ** (2 / 9)) if lags is None else lags
         e = F.col("_y") - F.aggregate(F.zip_with("_x", F.array(*map(F.lit, b.tolist())), lambda p, q: p * q), F.lit(0.0), lambda a, v: a + v)
         g = rows.withColumn("_g", F.transform("_x", lambda v: v * e))
-        over = Window.orderBy("_o")  # a time series: one row per period
+        if rows.groupBy("_o").count().filter("count > 1").limit(1).count():
+            raise ValueError("a series needs one row per period")
+        over = Window.orderBy("_o")  # a time series: one row per period, so as many rows as periods
         g = g.select("_g", *[F.lag("_g", i).over(over).alias(f"_l{i}") for i in range(1, lags + 1)])
         sums = g.agg(*[F.sum(F.col("_g")[i] * (F.col("_g") if lag == 0 else F.col(f"_l{lag}"))[j]).alias(f"m{lag}_{i}_{j}") for lag in range(lags + 1) for i in range(k) for j in range(k)]).first()
         meat = np.zeros((k, k))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from earshot.functions import keys, text as T
-from earshot.operators import panel, relational as R
+from earshot.operators import panel, relational as R, stats
 from earshot.plans import text as X
 from earshot.sources.tables import table
 
@@ -14,7 +14,11 @@ _SEC = "CASE WHEN regexp_replace(lower(section), '[^a-z]+', '', 'g') IN ('qa', '
 _ROL = "CASE WHEN length(role) <= 3 THEN upper(role) ELSE upper(role[1:1]) || lower(role[2:]) END"
 
 
-def keyed_sql(of: str = CH) -> str:
+#: Repeated loads of a chunk are one chunk: the first load counts. A null id is no repeat of another.
+_FIRST = f"(SELECT * FROM {CH} QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at) = 1)"
+
+
+def keyed_sql(of: str = _FIRST) -> str:
     return f"(SELECT * REPLACE ({X._TICK} AS ticker, {X._Q} AS quarter, {_SEC} AS section, {_ROL} AS role) FROM (SELECT *, {X._S} AS s FROM {of}))"
 
 
@@ -27,7 +31,8 @@ def r9(c, a=None):
 
 
 def _chunks(spark, d):
-    return panel.keyed(table(spark, d, CH))
+    """The chunks under canonical keys, each once (the first load)."""
+    return panel.keyed(panel.first_loads(table(spark, d, CH)))
 
 
 def _market(spark, d):
@@ -65,7 +70,7 @@ def qa_dynamics(spark, d):
 
 
 def call_text_concat(spark, d):
-    x = R.keep_one(_chunks(spark, d).filter("text is not null"), ["chunk_id"], [F.col("ingested_at")])
+    x = _chunks(spark, d).filter("text is not null")
     g = x.groupBy("ticker", "quarter").agg(panel.call_text(x, [], "chunk_id").alias("call"), F.count("*").alias("chunks"))
     return g.select("ticker", "quarter", "chunks", F.length("call").alias("chars"), F.md5("call").alias("digest"), T.word_count(F.col("call")).alias("words"))
 
@@ -88,14 +93,21 @@ def speaker_role_counts(spark, d):
 
 
 def having_min_count(spark, d):
-    return R.having(table(spark, d, "manifest"), ["ticker"], 5).select("file_path", "ticker", "quarter")
+    """Files of canonical tickers with at least five files. Keys are shown as typed."""
+    return R.having(_typed(table(spark, d, "manifest")), ["ticker"], 5).select("file_path", F.col("typed_ticker").alias("ticker"), F.col("typed_quarter").alias("quarter"))
 
 
 def topk_bottomk(spark, d):
-    x = R.keep_one(table(spark, d, CH), ["chunk_id"], [F.col("ingested_at")])
+    x = panel.first_loads(table(spark, d, CH))
     return R.top_bottom(x, "lm_net_score", "chunk_id", 10).select("side", "rank", "chunk_id", "lm_net_score")
 
 
+def _feature_rows(spark, d):
+    """One row of the feature matrix per canonical key: the latest event, then the greatest returns and score."""
+    f = keys.canonical(table(spark, d, FM))
+    return R.keep_one(f, ["ticker", "quarter"], [F.desc_nulls_last(c) for c in ("earnings_date", "ret_1d", "abnormal_ret_1d", "mean_lm_net_score", "mean_vader_compound")])
+
+
 def panel_market_join(spark, d):
     f = table(spark, d, FM).select(keys.normalize_ticker(F.col("ticker")).alias("ticker"), keys.normalize_quarter(F.col("quarter")).alias("quarter"), "mean_lm_net_score")
     return f.join(_market(spark, d).select("ticker", "quarter", F.col("abnormal_ret_5d").alias("car_5d")), ["ticker", "quarter"], "left").select("ticker", "quarter", r9(panel.number("mean_lm_net_score"), "net"), r9("car_5d"))
@@ -165,9 +177,17 @@ def feature_coverage(spark, d):
     return f.agg(F.count("*").alias("n"), *[F.count(panel.number(c)).alias(c) for c in names]).select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) >= 0.7 * F.col("n")).alias("kept"), F.col(c).alias("present")) for c in names])).alias("x")).select("x.feature", "x.kept", "x.present")
 
 
+RANKED = ["mean_lm_net_score", "total_risk_count", "call_fog_index"]
+
+
 def percentile_rank_history(spark, d):
-    f = table(spark, d, FM).select("ticker", "quarter", r9(panel.number("total_risk_count"), "total_risk_count"))
-    return panel.percentile_rank(f, "total_risk_count").select("ticker", "quarter", "total_risk_count", r9("percentile"))
+    """Where each row stands among all rows in three measures, one row per measure; rows without a value are left out."""
+    f = table(spark, d, FM)
+    out = None
+    for c in RANKED:
+        one = panel.percentile_rank(f.select("ticker", "quarter", r9(panel.number(c), "value")), "value").select("ticker", "quarter", F.lit(c).alias("metric"), "value", r9("percentile"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def class_balance(spark, d):
@@ -177,8 +197,8 @@ def class_balance(spark, d):
 
 def median_imputation(spark, d):
     f = table(spark, d, FM)
-    names = ["mean_lm_net_score", "call_fog_index", "qa_filler_rate", "abnormal_volume"]
-    return f.agg(*[r9(F.median(panel.number(c)), c) for c in names])
+    names = [c for c, t in f.dtypes if t == "double"]
+    return stats.quantiles(f, names, [0.5]).select("column", r9("value", "median"))
 
 
 def company_sector_rollup(spark, d):
@@ -191,9 +211,18 @@ _MEANS = ", ".join(f"round(avg({_N(c)}), 9) AS {c}" for c in panel.SCORES)
 _PANEL = f"""(SELECT ticker, quarter, {", ".join(f"avg({_N(c)}) AS mean_{c}" for c in panel.SCORES)}, avg(CASE WHEN role IN ('CEO', 'CFO', 'COO', 'CTO') THEN {_N("lm_net_score")} END) AS mgmt_sentiment,
     avg(CASE WHEN role = 'Analyst' THEN {_N("lm_net_score")} END) AS analyst_sentiment, avg(CASE WHEN section = 'prepared_remarks' THEN {_N("lm_net_score")} END) AS prepared_sentiment,
     avg(CASE WHEN section = 'qa' THEN {_N("lm_net_score")} END) AS qa_sentiment FROM {keyed_sql()} GROUP BY ALL)"""
-_FIRST = f"(SELECT * FROM {CH} QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at) = 1)"
 _KM = f"SELECT {X._TICK} AS ticker, {X._Q} AS quarter FROM (SELECT *, {X._S} AS s FROM manifest)"
-_DBL = "SELECT unnest(['x']) AS feature"
+_SECTORS = f"(SELECT ticker, sector FROM (SELECT {X._TICK} AS ticker, sector, ticker AS typed FROM companies WHERE ticker IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY typed = ticker DESC, sector NULLS LAST, typed) = 1)"
+_TYPED = f"m AS (SELECT file_path, tt, tq, {X._TICK} AS ticker, {X._Q} AS quarter FROM (SELECT *, ticker AS tt, quarter AS tq, {X._S} AS s FROM manifest))"
+_READ_T = "coalesce(regexp_full_match(ticker, '[A-Z][A-Z0-9]{0,5}(\\.[A-Z]{1,2})?'), false)"
+
+
+def canonical_sql(of: str) -> str:
+    """A table with its ticker and quarter under canonical keys."""
+    return f"(SELECT * REPLACE ({X._TICK} AS ticker, {X._Q} AS quarter) FROM (SELECT *, {X._S} AS s FROM {of}))"
+
+
+FEATURE_ROWS = f"(SELECT * FROM {canonical_sql(FM)} QUALIFY row_number() OVER (PARTITION BY ticker, quarter ORDER BY {', '.join(c + ' DESC NULLS LAST' for c in ('earnings_date', 'ret_1d', 'abnormal_ret_1d', 'mean_lm_net_score', 'mean_vader_compound'))}) = 1)"
 
 QUERIES = {
     f.__name__: f
@@ -227,29 +256,24 @@ SQL = {
         sum((coalesce(section, '') = 'qa')::INT)::BIGINT AS qa_chunks, sum((coalesce(role, '') = 'Analyst')::INT)::BIGINT AS analyst_chunks FROM {keyed_sql()} GROUP BY quarter""",
     "value_counts": " UNION ALL ".join(f"SELECT {c} AS value, count(*) AS n, '{c}' AS field FROM {keyed_sql()} GROUP BY {c}" for c in ("section", "role", "finbert_label")),
     "speaker_role_counts": f"SELECT speaker, role, count(*) AS n FROM {keyed_sql()} GROUP BY ALL",
-    "having_min_count": "SELECT file_path, ticker, quarter FROM manifest WHERE ticker IN (SELECT ticker FROM manifest GROUP BY ticker HAVING count(*) >= 5)",
+    "having_min_count": f"WITH {_TYPED} SELECT file_path, tt AS ticker, tq AS quarter FROM m WHERE ticker IN (SELECT ticker FROM m GROUP BY ticker HAVING count(*) >= 5)",
     "topk_bottomk": f"""WITH x AS (SELECT * FROM {_FIRST} WHERE lm_net_score IS NOT NULL), a AS (SELECT 'top' AS side, chunk_id, lm_net_score, row_number() OVER (ORDER BY lm_net_score DESC, chunk_id)::INTEGER AS rank FROM x),
         b AS (SELECT 'bottom' AS side, chunk_id, lm_net_score, row_number() OVER (ORDER BY lm_net_score, chunk_id)::INTEGER AS rank FROM x) SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE rank <= 10""",
     "panel_market_join": f"""WITH f AS (SELECT {X._TICK} AS ticker, {X._Q} AS quarter, mean_lm_net_score AS v FROM (SELECT *, {X._S} AS s FROM {FM}))
         SELECT ticker, quarter, round({_N("v")}, 9) AS net, round(abnormal_ret_5d, 9) AS car_5d FROM f LEFT JOIN {market_sql()} USING (ticker, quarter)""",
-    "incremental_anti_join": f"SELECT file_path, ticker, quarter FROM manifest m WHERE NOT EXISTS (SELECT 1 FROM {FM} f WHERE f.ticker = m.ticker AND f.quarter = m.quarter)",
-    "semi_join_market": f"SELECT file_path, ticker, quarter FROM manifest m WHERE EXISTS (SELECT 1 FROM {MR} f WHERE f.ticker = m.ticker AND f.quarter = m.quarter)",
-    "target_semi_join": f"SELECT ticker, count(*) AS n FROM {CH} WHERE ticker IN (SELECT ticker FROM companies WHERE sector = 'Energy') GROUP BY ticker",
+    "incremental_anti_join": f"WITH {_TYPED}, f AS (SELECT DISTINCT ticker, quarter FROM {canonical_sql(FM)}) SELECT file_path, tt AS ticker, tq AS quarter FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.ticker = m.ticker AND f.quarter = m.quarter)",
+    "semi_join_market": f"""WITH {_TYPED}, r AS (SELECT DISTINCT ticker, quarter, true AS matched FROM {canonical_sql(MR)}) SELECT file_path, tt AS ticker, tq AS quarter, matched FROM m LEFT JOIN r USING (ticker, quarter)
+        WHERE matched OR NOT {_READ_T} OR NOT coalesce(regexp_full_match(quarter, '[0-9]{{4}}Q[1-4]'), false)""",
+    "target_semi_join": f"WITH c AS {_SECTORS}, n AS (SELECT ticker, count(*) AS n FROM {canonical_sql(CH)} GROUP BY ticker) SELECT ticker, n, CASE WHEN sector = 'Energy' THEN true END AS matched FROM n LEFT JOIN c USING (ticker) WHERE sector = 'Energy' OR NOT {_READ_T}",
     "coverage_matrix": f"WITH k AS (SELECT DISTINCT * FROM ({_KM}) WHERE ticker IS NOT NULL AND quarter IS NOT NULL), t AS (SELECT DISTINCT ticker FROM k), q AS (SELECT DISTINCT quarter FROM k) SELECT t.ticker, q.quarter, (k.ticker IS NOT NULL)::INTEGER AS present FROM t CROSS JOIN q LEFT JOIN k ON k.ticker = t.ticker AND k.quarter = q.quarter",
     "dedup_keep_longest": f"SELECT ticker, quarter, chunk_id, length(text)::INTEGER AS chars FROM {keyed_sql()} QUALIFY row_number() OVER (PARTITION BY ticker, quarter ORDER BY length(text) DESC NULLS LAST, chunk_id, ingested_at) = 1",
     "upsert_keep_last": """WITH x AS (SELECT ticker, quarter, date, source, strftime(ingested_at, '%Y-%m-%d %H:%M:%S') AS ts FROM manifest), b AS (SELECT ticker, quarter, date, NULL AS source, ts, 0 AS k FROM x WHERE ts < '2021-06-01' UNION ALL SELECT *, 1 AS k FROM x WHERE ts >= '2021-06-01')
         SELECT ticker, quarter, date, ts AS "at", source FROM b QUALIFY row_number() OVER (PARTITION BY ticker, quarter ORDER BY k DESC, ts DESC NULLS LAST, date ASC NULLS FIRST, source ASC NULLS FIRST) = 1""",
     "union_schema_merge": f"SELECT ticker, count(*) AS n, count(ret_1d) AS rets, count(abnormal_volume) AS vols FROM (SELECT ticker, ret_1d, NULL AS abnormal_volume FROM {FM} UNION ALL SELECT ticker, NULL, abnormal_volume FROM {MR}) GROUP BY ticker",
-    "feature_panel": f"""WITH r AS (SELECT ticker, quarter, sum((coalesce(regexp_matches(text, '(?i)currency|shortage|congestion'), false))::INT)::BIGINT AS total_risk_count FROM {keyed_sql()} GROUP BY ALL),
-        p AS (SELECT *, mean_lm_net_score - lag(mean_lm_net_score) OVER w AS mom, total_risk_count - lag(total_risk_count) OVER w AS risk_delta FROM {_PANEL} LEFT JOIN r USING (ticker, quarter) WINDOW w AS (PARTITION BY ticker ORDER BY quarter))
-        SELECT ticker, quarter, total_risk_count, risk_delta, round(mean_lm_net_score, 9) AS mean_lm_net_score, round(mom, 9) AS mean_lm_net_score_momentum, round(prepared_sentiment - qa_sentiment, 9) AS sentiment_divergence,
-        round(0.65::DOUBLE * coalesce(qa_sentiment, 0) + 0.35::DOUBLE * coalesce(prepared_sentiment, 0), 9) AS qa_weighted_sentiment, round(1.5::DOUBLE * mean_lm_negative_score, 9) AS negative_emphasis, round(mean_lm_negative_score / (mean_lm_positive_score + 1e-8), 9) AS neg_pos_ratio,
-        round(mean_lm_net_score - 0.5::DOUBLE * mean_lm_uncertainty_score, 9) AS uncertainty_adj_sentiment, round(mgmt_sentiment - analyst_sentiment, 9) AS mgmt_analyst_divergence, round(mean_lm_net_score * total_risk_count, 9) AS risk_sentiment_interaction, round(m.abnormal_ret_1d, 9) AS abnormal_ret_1d
-        FROM p LEFT JOIN {market_sql()} m USING (ticker, quarter)""",
-    "percentile_rank_history": f"""WITH f AS (SELECT ticker, quarter, round({_N("total_risk_count")}, 9) AS total_risk_count FROM {FM}), p AS (SELECT total_risk_count, count(*) AS n FROM f WHERE total_risk_count IS NOT NULL GROUP BY 1),
-        b AS (SELECT total_risk_count, coalesce(sum(n) OVER (ORDER BY total_risk_count ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(n) OVER () AS al FROM p) SELECT ticker, quarter, total_risk_count, round(below * 100.0 / al, 9) AS percentile FROM f JOIN b USING (total_risk_count)""",
+    "percentile_rank_history": " UNION ALL ".join(f"""SELECT * FROM (WITH f AS (SELECT ticker, quarter, round({_N(c)}, 9) AS value FROM {FM}), p AS (SELECT value, count(*) AS n FROM f WHERE value IS NOT NULL GROUP BY 1),
+        b AS (SELECT value, coalesce(sum(n) OVER (ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(n) OVER () AS al FROM p) SELECT ticker, quarter, '{c}' AS metric, value, round(below * 100.0 / al, 9) AS percentile FROM f JOIN b USING (value))""" for c in RANKED),
     "class_balance": f"SELECT count(*) AS n, round(avg((y > 0)::INT), 9) AS positive, round(greatest(round(avg((y > 0)::INT), 9), 1 - round(avg((y > 0)::INT), 9)), 9) AS majority FROM (SELECT {_N('abnormal_ret_1d')} AS y FROM {FM}) WHERE y IS NOT NULL",
-    "median_imputation": f"SELECT {', '.join(f'round(median({_N(c)}), 9) AS {c}' for c in ('mean_lm_net_score', 'call_fog_index', 'qa_filler_rate', 'abnormal_volume'))} FROM {FM}",
+    "median_imputation": f"SELECT col AS \"column\", round(median(v), 9) AS median FROM (UNPIVOT (SELECT COLUMNS(lambda c: c NOT IN ('ticker', 'quarter', 'earnings_date')) FROM {FM}) ON COLUMNS(*) INTO NAME col VALUE v) WHERE v::VARCHAR <> 'nan' GROUP BY col",
     "feature_coverage": f"SELECT feature, count(*) >= 0.7 * (SELECT count(*) FROM {FM}) AS kept, count(*) AS present FROM (UNPIVOT (SELECT COLUMNS(c -> c NOT IN ('ticker', 'quarter', 'earnings_date')) FROM {FM}) ON COLUMNS(*) INTO NAME feature VALUE v) WHERE v::VARCHAR <> 'nan' GROUP BY feature".replace("c -> c NOT", "lambda c: c NOT"),
-    "company_sector_rollup": f"SELECT sector, count(*) AS n, round(avg({_N('mean_vader_compound')}), 9) AS vader FROM {FM} JOIN companies USING (ticker) GROUP BY sector",
+    "company_sector_rollup": f"WITH c AS {_SECTORS} SELECT sector, count(*) AS n, round(avg({_N('mean_vader_compound')}), 9) AS vader FROM {canonical_sql(FM)} LEFT JOIN c USING (ticker) GROUP BY sector",
 }

@@ -206,3 +206,58 @@ def test_answer(spark):
     got = retrieval.answer("q?", hits, lambda prompt, history: f"see [2] and [9] of {len(history)}", [("a", "b")] * 6)
     assert got["answer"].endswith("of 4") and [s["text"] for s in got["cited_sources"]] == ["beta"]
     assert retrieval.answer("q?", hits.limit(0), None)["sources"] == []
+
+
+def test_lexicon_of_full_size(spark, tmp_path):
+    """Lists read from a file, a thousand words long: the same shares as sets in Python give."""
+    import json
+    import random
+
+    from earshot.functions import lexicons, text as T
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    lists = {"pos": sorted({word() for _ in range(400)}), "neg": sorted({word() for _ in range(1000)}), "unc": sorted({word() for _ in range(200)})}
+    (tmp_path / "lists.json").write_text(json.dumps(lists))
+    table = lexicons.read_lexicon(spark, str(tmp_path / "lists.json"))
+    read = {k: [x["term"] for x in table.filter(F.col("lexicon") == k).collect()] for k in lists}
+    assert {k: sorted(v) for k, v in read.items()} == lists and lexicons.read_taxonomy(spark, str(tmp_path / "lists.json"))["neg"] == lists["neg"]
+    texts = [" ".join(r.choice(lists[r.choice(list(lists))]) if r.random() < 0.5 else word() for _ in range(80)) for _ in range(20)] + ["", "  "]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.lexicon_scores(F.col("t"), read["pos"], read["neg"], read["unc"]).alias("s")).collect()
+    for row in got:
+        seen = set(row["t"].lower().split())
+        n = max(len(seen), 1)
+        p, m, u = (len(seen & set(lists[k])) for k in ("pos", "neg", "unc"))
+        assert (row["s"]["pos"], row["s"]["neg"], row["s"]["unc"]) == (p / n, m / n, u / n) and abs(row["s"]["net"] - (p - m) / n) < 1e-12
+
+
+def test_word_forms():
+    from earshot.functions import lexicons
+
+    assert lexicons.word_forms(["decline", "worry", "miss"], ["weak", "noisy", "stable"], ["loss", "penalty"], ["lost"]) == [
+        "decline", "declines", "declined", "declining", "worry", "worries", "worried", "worrying", "miss", "misses", "missed", "missing", "weak", "weakly", "noisy", "noisily", "stable", "stably", "loss", "losses", "penalty", "penalties", "lost",
+    ]
+
+
+def test_quantiles_match_numpy(spark):
+    import numpy as np
+
+    from earshot.operators import stats
+
+    r = np.random.default_rng(4)
+    data = [(float(a), float(b), None) for a, b in zip(r.normal(size=501), r.integers(0, 5, 501))] + [(None, float("nan"), None)]
+    got = {(x["column"], x["point"]): x["value"] for x in stats.quantiles(spark.createDataFrame(data, "a double, b double, c double"), ["a", "b", "c"], [0.0, 0.05, 1 / 3, 0.5, 1.0]).collect()}
+    for i, c in enumerate("ab"):
+        values = [d[i] for d in data[:501]]
+        for q in (0.0, 0.05, 1 / 3, 0.5, 1.0):
+            assert abs(got[c, q] - np.quantile(values, q)) < 1e-12
+    assert not any(k[0] == "c" for k in got)
+
+
+def test_event_study_p_values(spark):
+    from earshot.operators import stats
+
+    rows = [(0.1, 0.5), (0.2, -0.4), (0.15, 0.1), (0.12, None)]
+    got = {r["window"]: r for r in stats.event_study(spark.createDataFrame(rows, "a double, b double"), ["a", "b"]).collect()}
+    assert got["a"]["significant"] and not got["b"]["significant"] and abs(got["a"]["p"] - stats.t_p_value(got["a"]["t"], 3)) < 1e-12
+    assert abs(stats.t_p_value(2.262157, 9) - 0.05) < 1e-6
