@@ -392,3 +392,36 @@ def test_find_and_redact(spark):
     red = [(r["doc_id"], r["text"]) for r in pii.redact(df).collect()]
     assert (1, "signed [NAME]\nSend to [EMAIL]") in red and (2, None) in red and (3, "") in red
     assert pii.find_details(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
+
+
+def test_turns_of_names_in_no_list(spark):
+    """Speakers nobody listed, in layouts mined from the texts alone (no speaker column): at least 0.9 of the turns, and as few false ones."""
+    first = "Bogdan Thandiwe Sundar Satya Ngozi Lakshmi Siobhan Zbigniew Oluwaseun Xiulan Bronagh Tuğba".split()
+    last = "Petrescu Mokoena Pichai Nadella Okafor Narayanan Walsh Wójcik Adeyemi Nguyễn Gallagher Yıldız".split()
+    r = random.Random(5)
+    people = [f"{a} {b}" for a in first for b in last]
+    layouts = ["{}: ", "[00:{:02d}:10] {}: ", "{} -- Analyst\n", ">> {}: ", "Q - {}: ", "{} (Executive)\n"]
+    rows, want = [], set()
+    for i in range(150):
+        lines, said = [], []
+        for k in range(4):
+            who, form = r.choice(people), layouts[i % len(layouts)]
+            said.append(who)
+            lines.append((form.format(k, who) if form.count("{") > 1 else form.format(who)) + f"we saw steady demand in region {k} and costs fell.")
+            if k == 1:
+                lines.append(r.choice(["Segment Results:", "Balance Sheet:", "Key Points:"]))
+                lines.append("the balance sheet and segment results have key points to note.")
+        rows.append((f"c{i}", None, "qa", "\n".join(lines)))
+        merged = [w for j, w in enumerate(said) if not j or said[j - 1] != w]
+        want |= {(f"c{i}", n, w.lower()) for n, w in enumerate(merged, 1)}
+    df = spark.createDataFrame(rows, "chunk_id string, speaker string, section string, text string")
+    for column in ("speaker", None):
+        got = {(x["chunk_id"], x["turn_no"], x["speaker"]) for x in turns.speaker_turns(df, speaker_col=column).collect()}
+        assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got), (len(got), len(want), len(got & want))
+
+
+def test_long_labels_are_labels():
+    """A label of more than 14 tokens is one."""
+    line = "Ruth Cygowyn, Vice President, Head of Finance, Treasury, Planning, Risk, and Investor Relations of Europe: Hello."
+    layout, spans, begin = turns.head(line)
+    assert line[slice(*spans[0])] == "Ruth Cygowyn" and line[begin:].strip() == "Hello." and "…" in layout
