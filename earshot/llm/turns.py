@@ -21,6 +21,8 @@ MIN_LINES, MIN_SHARE, HEADING = 3, 0.25, 3
 LEAST = 1e-5
 #: Layouts that mark a label by nothing but itself.
 BARE = {"N :", "N $", "[ N ] $", "N T $"}
+#: Layouts of whole lines that are labels by their marks: a name in brackets, or a name with a role behind a dash or in brackets.
+_ENDED = r"^(\[ N \]|N (--|—|-|–|\() N( (w|&) N)*( \))?) \$$"
 
 _TIME = r"\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 _CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*\.?(?:['’-][^\W\d_]+)*"
@@ -161,7 +163,7 @@ def mine_labels(df: DataFrame, text_col: str = "text", speaker_col: str | None =
 
     several = F.size(F.split("key", " ")) > 1
     bare = F.col("layout").isin(*BARE)
-    value = labels.groupBy("value", "key").agg(F.count_distinct(F.when((F.col("slot") == 0) & ~F.col("layout").endswith("$"), F.col("layout"))).alias("layouts"), F.max(~bare).alias("marked"), F.sum("n").alias("texts")).join(known, "key", "left")
+    value = labels.groupBy("value", "key").agg(F.count_distinct(F.when((F.col("slot") == 0) & (~F.col("layout").endswith("$") | F.col("layout").rlike(_ENDED)), F.col("layout"))).alias("layouts"), F.max(~bare).alias("marked"), F.sum("n").alias("texts")).join(known, "key", "left")
     value = stage(value.withColumn("speaker", F.coalesce("listed", F.lit(False)) | (F.col("value") == "operator") | (several & (F.col("layouts") > 1) & F.col("marked"))))
     total = labels.agg(F.sum("n").alias("all"))  # one row
     scored = labels.join(value.select("value", "key", "speaker"), ["value", "key"]).groupBy("layout", "slot").agg(
