@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -49,24 +49,81 @@ def roots(token: str) -> tuple[str, ...]:
     return (token, *NICKNAMES.get(token, "").split())
 
 
-def deletes(token: str) -> set[str]:
-    """The token and, if it has at least 4 letters, what is left without any one of them. Two tokens one edit or swap apart share an element."""
-    return {token} | ({token[:i] + token[i + 1 :] for i in range(len(token))} if len(token) >= 4 else set())
+#: Letters a word needs to be taken for another one edit away, two edits away, and so on.
+EDIT_LENGTHS = (4, 12)
 
 
-def edits(a: str, b: str) -> int:
-    """0 if equal, 1 if one insertion, deletion, substitution or swap of neighbours makes them so, else 2."""
+def allowed(length: int, lengths: tuple[int, ...] = EDIT_LENGTHS) -> int:
+    """Edits that a word of so many letters may have."""
+    return sum(length >= n for n in lengths)
+
+
+def deletes(token: str, lengths: tuple[int, ...] = EDIT_LENGTHS) -> set[str]:
+    """The token and what is left without as many of its letters as it may have edits. Two tokens within their allowed edits (or swaps of neighbours) share an element."""
+    out = level = {token}
+    for _ in range(allowed(len(token), lengths)):
+        level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t))}
+        out = out | level
+    return out
+
+
+def edits(a: str, b: str, most: int = len(EDIT_LENGTHS)) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours that make one word the other, ``most + 1`` if it takes more."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > 1:
-        return 2
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    if len(a) == len(b):
-        return 1 if a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]) else 2
-    a, b = sorted((a, b), key=len)
-    return 1 if a[i:] == b[i + 1 :] else 2
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            c = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                c = min(c, before[j - 2] + 1)
+            new.append(c)
+        if min(new) > most:
+            return most + 1
+        before, row = row, new
+    return min(row[-1], most + 1)
+
+
+def alike(a: str, b: str) -> bool:
+    """Whether two words are equal or, if both have 3 letters, within the edits that the longer may have."""
+    return a == b or (min(len(a), len(b)) >= 3 and edits(a, b) <= allowed(max(len(a), len(b))))
+
+
+def assign(cost: list[list[float]]) -> float:
+    """Least total over all assignments of the rows to different columns (at least as many as rows), by shortest augmenting paths; O(rows^2 * columns)."""
+    n, m = len(cost), len(cost[0]) if cost else 0
+    u, v, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], j0 = i, 0
+        least, way, used = [math.inf] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while True:
+            used[j0] = True
+            i0, delta, j1 = owner[j0], math.inf, 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    c = cost[i0 - 1][j - 1] - u[i0] - v[j]
+                    if c < least[j]:
+                        least[j], way[j] = c, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            if delta == math.inf:
+                return math.inf
+            for j in range(m + 1):
+                if used[j]:
+                    u[owner[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+            if not owner[j0]:
+                break
+        while j0:
+            owner[j0] = owner[way[j0]]
+            j0 = way[j0]
+    return sum(cost[owner[j] - 1][j - 1] for j in range(1, m + 1) if owner[j])
 
 
 def abbreviates(short: str, long: str) -> bool:
@@ -117,24 +174,23 @@ def person_keys(kind: str, words: list[str], initials: list[str]) -> tuple[set[s
 def _token_cost(x: str, y: str) -> int:
     if set(roots(x)) & set(roots(y)):
         return 0
-    n = min(len(x), len(y))
-    return min((edits(r, s) for r in roots(x) for s in roots(y)), default=2) if n >= 3 else 2
+    return 1 if any(alike(r, s) for r in roots(x) for s in roots(y)) else 2
 
 
 def name_cost(a: list[str], b: list[str]) -> int:
-    """Least number of edits over all assignments of the shorter name's words to the other's; 9 where the two can't be one name."""
+    """Least number of differing words (one within its allowed edits costs 1, another 2) over all assignments of the shorter name's words to the other's; 9 for a single word that isn't the other name."""
     if len(a) > len(b):
         a, b = b, a
-    if len(a) > 5 or len(b) > 6 or len(a) < 2:
+    if len(a) < 2:
         return 0 if a == b else 9
-    return min(min(9, sum(_token_cost(x, y) for x, y in zip(a, p))) for p in permutations(b, len(a)))
+    return int(assign([[_token_cost(x, y) for y in b] for x in a]))
 
 
 def weak_cost(kind: str, words: list[str], initials: list[str], full: list[str]) -> int:
     """As ``name_cost`` for a weak form against a full name: its initial may stand for any other word of it."""
     best = 9
     for j, y in enumerate(full):
-        c = edits(words[0], y) if len(words[0]) >= 4 else 0 if words[0] == y else 2
+        c = 0 if words[0] == y else 1 if alike(words[0], y) else 2
         if c < 2 and (kind == "single" or any(r[0] == initials[0] for i, x in enumerate(full) if i != j for r in roots(x))):
             best = min(best, 2 * c + (0 if j == len(full) - 1 else 1))
     return best
@@ -158,18 +214,18 @@ def company_cost(raw: str, ticker: str, name: str, rare: list[str]) -> float:
         # A swap of neighbours is the likelier slip: it wins over another company that is one letter away.
         best = float(e) if e == 0 else (0.9 if sorted(symbol) == sorted(own) else 1.0) if e == 1 and len(own) >= 4 else best
     typed, words = _company_tokens(raw), _company_tokens(name)
-    if not typed or len(typed) > len(words) or len(words) > 7:
+    if not typed or len(typed) > len(words):
         return best
 
-    def near(x: str, y: str) -> bool:
-        return x == y or (min(len(x), len(y)) >= 4 and edits(x, y) == 1)
-
     def one(x: str, y: str) -> float:
-        return 0.0 if x == y else 0.25 if abbreviates(x, y) else 1.0 if near(x, y) else float("inf")
-
-    for p in permutations(words, len(typed)):
-        if any(y in rare and near(x, y) for x, y in zip(typed, p)):
-            best = min(best, sum(map(one, typed, p)) + 0.05 * (len(words) - len(typed)))
+        return 0.0 if x == y else 0.25 if abbreviates(x, y) else 1.0 if alike(x, y) else math.inf
+
+    cost = [[one(x, y) for y in words] for x in typed]
+    for i, x in enumerate(typed):
+        for j, y in enumerate(words):
+            if y in rare and alike(x, y):  # the rest is assigned around the word by which the company is known
+                rest = [[c for k, c in enumerate(row) if k != j] for r, row in enumerate(cost) if r != i]
+                best = min(best, cost[i][j] + assign(rest) + 0.05 * (len(words) - len(typed)))
     return best
 
 
@@ -180,7 +236,7 @@ def resolve_companies(values: DataFrame, companies: DataFrame, value_col: str =
     edit) or as a name (words left out, abbreviated or one edit away). Companies
     are posted under the deletion neighbourhoods of their ticker and of the
     rarest words of their name; a value meets only companies with which it shares
-    one, and is given the one of least cost if that is unique. Nulls, blanks and
+    one, and is given the one of least cost (below 3) if that is unique. Nulls, blanks and
     values that fit several companies equally well have no row.
     """
     raws = values.select(F.col(value_col).cast("string").alias("raw")).dropna().distinct()
@@ -227,15 +283,19 @@ def link_people(names: DataFrame, scope_col: str = "company", name_col: str = "s
     """``(scope, spelling, entity)`` of the distinct names in each scope; placeholders have no row.
 
     Full names meet under keys of one exact word and one word of another's
-    deletion neighbourhood, and are linked if the best assignment of their words
-    needs at most one edit, short forms of given names counting as equal, in any
-    order, titles and middle initials aside. A form of initials or of one word
+    deletion neighbourhood, and are linked if in the best assignment of their words
+    at most one differs, by the edits its length allows (``EDIT_LENGTHS``), short
+    forms of given names counting as equal, in any order, titles and middle
+    initials aside, however many words there are. A form of initials or of one word
     joins the linked group it fits best, if only one fits so well; forms that fit
     no group but each other in surname and first initial are linked. All
     spellings of the operator in a scope are one entity. Nulls and names in a
     null scope are left out; nothing is linked across scopes.
     """
+    spark = names.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     typed = names.select(F.col(scope_col).alias("scope"), F.col(name_col).alias("spelling")).dropna().distinct()
+    typed = typed.repartition(tasks, "scope", "spelling")  # few bytes, but much work for each
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -244,7 +304,7 @@ def link_people(names: DataFrame, scope_col: str = "company", name_col: str = "s
             yield b.assign(kind=[p[0] for p in parsed], words=[p[1] for p in parsed], initials=[p[2] for p in parsed], own=[sorted(k[0]) for k in keys], weak=[sorted(k[1]) for k in keys])
 
     kinds = {f.name: f.dataType.simpleString() for f in typed.schema}
-    node = F.concat_ws("\u0001", F.col("scope").cast("string"), "spelling")
+    node = F.concat_ws("\u0001", F.col("scope").cast("string"), F.array_join("words", " "))
     parsed = stage(typed.mapInPandas(parse, f"scope {kinds['scope']}, spelling string, kind string, words array<string>, initials array<string>, own array<string>, weak array<string>").filter("kind <> 'unknown'").withColumn("node", node))
 
     @F.pandas_udf("int")
@@ -256,17 +316,18 @@ def link_people(names: DataFrame, scope_col: str = "company", name_col: str = "s
         return pd.Series([weak_cost(k, list(w), list(i), list(f)) for k, w, i, f in zip(kind, words, initials, full)], dtype="int32")
 
     key = lambda c: F.xxhash64("scope", c)
-    posted = parsed.filter("kind = 'full'").select("scope", "node", "words", F.explode("own").alias("k")).select("node", "words", key("k").alias("key"))
+    full = parsed.filter("kind = 'full'")
+    once = full.select("scope", "node", "words", "own", "weak").dropDuplicates(["node"])  # spellings of the same words in the same order are one node
+    posted = once.select("scope", "node", "words", F.explode("own").alias("k")).select("node", "words", key("k").alias("key"))
     x, y = posted.toDF("a", "wa", "key"), posted.toDF("b", "wb", "key")
     met = x.join(y, "key").filter("a < b").select("a", "b", "wa", "wb").distinct()
     links = stage(met.filter(full_cost("wa", "wb") <= 1).select("a", "b"))
-    full = parsed.filter("kind = 'full'")
     groups = full.select("scope", "spelling", "node", "words", "weak").join(connected_components(links), "node", "left").withColumn("entity", F.coalesce("component", "node"))
     groups = stage(groups.select("scope", "spelling", "words", "weak", "entity"))
 
     forms = parsed.filter("kind in ('initial', 'single')").select("scope", "spelling", "kind", "words", "initials", "weak")
     looked = forms.select("scope", "spelling", "kind", "words", "initials", F.explode("weak").alias("k")).withColumn("key", key("k")).drop("k")
-    there = groups.select("scope", "entity", F.col("words").alias("full"), F.explode("weak").alias("k")).select("entity", "full", key("k").alias("key"))
+    there = groups.dropDuplicates(["entity", "words"]).select("scope", "entity", F.col("words").alias("full"), F.explode("weak").alias("k")).select("entity", "full", key("k").alias("key"))
     fits = looked.join(there, "key").select("scope", "spelling", "kind", "words", "initials", "entity", "full").distinct()
     fits = fits.withColumn("cost", form_cost("kind", "words", "initials", "full")).filter("cost < 9").groupBy("scope", "spelling", "entity").agg(F.min("cost").alias("cost"))
     best = fits.groupBy("scope", "spelling", "cost").agg(F.count("*").alias("n"), F.min("entity").alias("entity")).groupBy("scope", "spelling").agg(F.min(F.struct("cost", "n", "entity")).alias("b"))
@@ -284,11 +345,22 @@ def spelling_pairs(entities: DataFrame) -> DataFrame:
     return a.join(b, ["scope", "entity"]).filter("spelling_a < spelling_b").select("scope", "spelling_a", "spelling_b").distinct()
 
 
-def variant_spellings(df: DataFrame, companies: DataFrame, ticker_col: str = "ticker", speaker_col: str = "speaker") -> DataFrame:
-    """``(field, ticker, spelling_a, spelling_b)``: spellings of one company, and of one speaker within a company."""
+def spelling_groups(df: DataFrame, companies: DataFrame, ticker_col: str = "ticker", speaker_col: str = "speaker") -> DataFrame:
+    """``(field, ticker, entity, spelling)``: one row per distinct raw value with the company or speaker it means.
+
+    Tickers that mean no company, or several equally well, have a null ``ticker`` and
+    ``entity``; speakers' placeholders have no row.
+    """
     seen = stage(df.select(F.col(ticker_col).alias("ticker"), F.col(speaker_col).alias("speaker")).distinct())
     mapping = stage(resolve_companies(seen, companies))
-    firms = mapping.select(F.col("company").alias("scope"), F.col("raw").alias("spelling"), F.col("company").alias("entity"))
+    raws = seen.select(F.col("ticker").cast("string").alias("spelling")).filter("trim(spelling) <> ''").distinct()
+    firms = raws.join(mapping, raws.spelling == mapping.raw, "left").select(F.lit("ticker").alias("field"), F.col("company").alias("ticker"), F.col("company").alias("entity"), "spelling")
     people = link_people(seen.join(bounded_broadcast(mapping), seen.ticker == mapping.raw))
-    both = spelling_pairs(firms).withColumn("field", F.lit("ticker")).unionByName(spelling_pairs(people).withColumn("field", F.lit("speaker")))
-    return both.select("field", F.col("scope").alias("ticker"), "spelling_a", "spelling_b")
+    return firms.unionByName(people.select(F.lit("speaker").alias("field"), F.col("scope").alias("ticker"), "entity", "spelling"))
+
+
+def variant_spellings(df: DataFrame, companies: DataFrame, ticker_col: str = "ticker", speaker_col: str = "speaker") -> DataFrame:
+    """``(field, ticker, spelling_a, spelling_b)``: spellings of one company, and of one speaker within a company."""
+    groups = stage(spelling_groups(df, companies, ticker_col, speaker_col).filter("entity is not null"))
+    both = spelling_pairs(groups.withColumn("scope", F.struct("field", "ticker")))
+    return both.select("scope.field", "scope.ticker", "spelling_a", "spelling_b")

@@ -235,7 +235,7 @@ def _last_words(text: str, line: int, stop: int, n: int) -> list[int]:
 
 def evidence(text: str) -> Iterator[tuple[str, str, bool, int]]:
     """(kind of context, context, whether the candidate is known by itself, a hash of the candidate) of the capitalised pairs and numbers of a text."""
-    norm, _, _ = deobfuscate(text)
+    norm = text  # disguises are rare enough to learn without them
     for m in _PAIR.finditer(norm):
         first, rest = m["first"], m["rest"]
         if first.isupper() and rest.isupper():

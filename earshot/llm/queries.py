@@ -26,6 +26,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variant_spellings(table(spark, sf_dir, "chunks_with_sentiment"), table(spark, sf_dir, "companies"))
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct spelling with what it means; a ticker that means no company has nulls."""
+    return names.spelling_groups(table(spark, sf_dir, "chunks_with_sentiment"), table(spark, sf_dir, "companies"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.speaker_turns(table(spark, sf_dir, "chunks_with_sentiment")).select("chunk_id", "turn_no", "speaker").distinct()
 

@@ -460,3 +460,33 @@ def test_details_of_names_in_no_list(spark):
 )
 def test_details_of_many_forms(text, kind, value):
     assert [(k, text[b:e]) for b, e, k in pii.details(text)] == [(kind, value)]
+
+
+def test_long_names_are_linked(spark):
+    """Names of six and more words a letter apart, a company of nine words, and two edits in a long word."""
+    six = "Maria Teresa Consuelo Fernanda Castellanos Villarreal"
+    assert names.name_cost(six.lower().split(), six.lower().replace("castellanos", "castelanos").split()[::-1]) == 1
+    assert names.name_cost(six.lower().split(), six.lower().replace("castellanos", "castelanos").replace("fernanda", "fernandu").split()) == 2
+    firm = "International Consolidated Mining Smelting Refining Shipping Trading Holdings Wevenar"
+    rows = [("ABCDE", six), ("ABCDE", six.replace("Castellanos", "Castelanos").upper()), (firm, "Ruth Cygowynstein-Mapolara"), (f"{firm} Inc".replace(" Inc", ""), "Ruth Cygowinstein-Mapolaro"), ("ABCDE", "Ruth Sobel"), ("ABCDE", "Ruth Nagar")]
+    df = spark.createDataFrame(rows, "ticker string, speaker string")
+    got = {tuple(r) for r in names.variant_spellings(df, spark.createDataFrame([("ABCDE", firm)], "ticker string, name string")).collect()}
+    assert {g[2:] for g in got if g[0] == "ticker"} == {("ABCDE", firm)}
+    assert {g[2:] for g in got if g[0] == "speaker"} == {tuple(sorted((six, rows[1][1]))), tuple(sorted((rows[2][1], rows[3][1])))}
+
+
+def test_assignment_equals_brute_force():
+    from itertools import permutations
+
+    r = random.Random(1)
+    for _ in range(200):
+        n, m = r.randrange(1, 5), r.randrange(4, 6)
+        cost = [[r.choice([0, 0.25, 1, 2, float("inf")]) for _ in range(m)] for _ in range(n)]
+        assert names.assign(cost) == min(sum(cost[i][j] for i, j in enumerate(p)) for p in permutations(range(m), n))
+    assert names.assign([]) == 0
+
+
+def test_groups_report_what_means_nothing(spark):
+    df = spark.createDataFrame([("ABCDE", "Ruth Cygowyn"), ("whatever", "Ruth Cygowyn"), (None, None), ("", "Tom Nagar"), ("abcde", "unknown")], "ticker string, speaker string")
+    got = {tuple(r) for r in names.spelling_groups(df, companies(spark)).select("field", "ticker", "spelling").collect()}
+    assert got == {("ticker", "ABCDE", "ABCDE"), ("ticker", "ABCDE", "abcde"), ("ticker", None, "whatever"), ("speaker", "ABCDE", "Ruth Cygowyn")}
