@@ -1,4 +1,4 @@
-"""Cutting lineage on shared storage, and broadcasts behind a checked size."""
+"""Cutting lineage on shared storage, and broadcasts behind a measured size."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast once it has been counted.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a side may be broadcast once it has been measured.
+BROADCAST_BYTES = 64_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +46,22 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows at most ``max_rows`` rows, else ``df`` as it is (a shuffle join)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes that the rows of ``df`` take, by their number and the lengths of their values: one pass over what should be a staged or small table."""
+    fixed, texts = 8, []
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            texts.append(F.octet_length(F.col(f"`{f.name}`")))
+        elif kind in ("array", "map", "struct"):
+            texts.append(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))))
+        fixed += 8
+    row = F.lit(fixed)
+    for t in texts:
+        row = row + F.coalesce(t, F.lit(0))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows take at most ``max_bytes``, else ``df`` as it is (a shuffle join)."""
+    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
