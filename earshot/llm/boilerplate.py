@@ -18,10 +18,9 @@ def normal_lines(text: Column) -> Column:
 
 
 def _occurrences(rows: DataFrame, min_words: int) -> DataFrame:
-    """One row per long enough line: ``(source, chunk, pos, line, h1, h2)``; the two hashes name the line."""
+    """One row per long enough line: ``(source, chunk, counted, pos, h1, h2)``; the two hashes name the line."""
     lines = rows.select("source", "chunk", "counted", F.posexplode(normal_lines(F.col("text"))).alias("pos", "line"))
-    lines = lines.filter(F.size(F.split("line", " ")) >= min_words)
-    return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.hash("line"))
+    return lines.filter(F.size(F.split("line", " ")) >= min_words).select("source", "chunk", "counted", "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
 
 
 def _rows(df: DataFrame, id_col: str, source_col: str, text_col: str, min_text_words: int) -> DataFrame:
@@ -36,10 +35,10 @@ def boilerplate(df: DataFrame, id_col: str, source_col: str, text_col: str = "te
     chunk, pos)`` of every kept line in every text, pos counting lines from 0.
 
     Lines are nodes and consecutive lines edges, weighted by the number of
-    different texts (by id, so loads of a text count once). First only hashes are
-    counted, which keeps the texts out of the shuffle; the few lines of enough
-    support are then met again in a second scan, where edges between neighbours
-    are counted among them alone. Components over edges of enough support are the
+    different texts (by id, so loads of a text count once). Lines are normalised once
+    and only their hashes are kept and counted; edges between neighbours are
+    counted among the few lines of enough support, and each such line is read back
+    from one text that has it. Components over edges of enough support are the
     blocks; a line without one is a block of its own.
 
     Only texts of at least ``min_text_words`` words are counted; null texts, ids
@@ -47,17 +46,23 @@ def boilerplate(df: DataFrame, id_col: str, source_col: str, text_col: str = "te
     holds most rows is spread by its lines.
     """
     rows = _rows(df, id_col, source_col, text_col, min_text_words)
-    keyed = _occurrences(rows.filter("counted"), min_words).select("source", "h1", "h2", F.xxhash64("chunk").alias("c")).distinct()
+    every = stage(_occurrences(rows, min_words))
+    keyed = every.filter("counted").select("source", "h1", "h2", F.xxhash64("chunk").alias("c")).distinct()
     nodes = keyed.groupBy("source", "h1", "h2").agg(F.count("*").alias("support")).filter(F.col("support") >= min_support)
     nodes = stage(nodes.withColumn("node", F.xxhash64("source", "h1", "h2")))
-    found = _occurrences(rows, min_words).join(bounded_broadcast(nodes), ["source", "h1", "h2"])
-    found = stage(found.select("source", "chunk", "counted", "pos", "line", "node", "support").distinct())
+    found = every.join(bounded_broadcast(nodes), ["source", "h1", "h2"])
+    found = stage(found.select("source", "chunk", "counted", "pos", "node", "support").distinct())
 
     after = Window.partitionBy("source", "chunk").orderBy("pos")
     step = found.filter("counted").withColumn("to", F.lead("node").over(after)).withColumn("next", F.lead("pos").over(after))
     edges = step.filter("next = pos + 1").select("node", "to", "chunk").distinct().groupBy("node", "to").agg(F.count("*").alias("weight"))
     parts = connected_components(edges.filter(F.col("weight") >= min_support), "node", "to")
-    lines = found.groupBy("source", "node").agg(F.min("line").alias("line"), F.first("support").alias("support"))
+    seen = found.groupBy("source", "node").agg(F.min(F.struct("chunk", "pos")).alias("at"), F.first("support").alias("support"))
+    seen = stage(seen.select("source", "node", "support", F.col("at.chunk").alias("chunk"), F.col("at.pos").alias("pos")))
+    shown = rows.select("source", "chunk", "text").join(bounded_broadcast(seen), ["source", "chunk"])
+    line = F.get(normal_lines(F.col("text")), F.col("pos"))  # of several texts under one id, the one with that line
+    shown = shown.select("source", "node", "support", line.alias("line")).filter(F.xxhash64("source", F.xxhash64("line"), F.hash("line")) == F.col("node"))
+    lines = shown.groupBy("source", "node").agg(F.min("line").alias("line"), F.first("support").alias("support"))
     blocks = lines.join(parts, "node", "left").select("source", "line", "support", F.coalesce("component", "node").alias("block"))
     return blocks, found.select("source", "chunk", "pos").distinct()
 

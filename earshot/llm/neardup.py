@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm.wordhash import BASE, alnum_table, mix, shingle_hashes, slices, word_hashes
@@ -15,6 +15,8 @@ from earshot.storage import bounded_broadcast, stage
 
 #: Coordinates of a signature, minima in a coordinate, and coordinates in which a pair must agree.
 COORDINATES, ROWS, MATCHES = 60, 4, 2
+#: Postings of one coordinate value that one task may pair; a more common value is cut into blocks, and the pairs of its blocks are spread.
+BLOCK = 2_000
 
 
 def _signatures(shingles: np.ndarray, first: np.ndarray, seed: int = 7) -> np.ndarray:
@@ -92,20 +94,44 @@ def _similarity(pairs: DataFrame, shingle: int) -> DataFrame:
     return pairs.mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", threshold: float = 0.7, shingle: int = 3, min_words: int = 60) -> tuple[DataFrame, DataFrame]:
+def _collisions(classes: DataFrame, block: int) -> DataFrame:
+    """``(a, b)``, a < b, of the classes whose signatures agree in at least MATCHES = 2 coordinates.
+
+    Every class is posted under its coordinate-value pairs; values nobody shares are
+    dropped after counting (with map-side combining, so a value that many share is
+    no burden). The most common value of a class is its skipped list: a pair that
+    agrees in two coordinates agrees in one that isn't skipped by both. So lists are
+    merged but for skipped against skipped, collisions are counted per pair, and
+    one more is added where both skip the same value. A value with more than
+    ``block`` postings is dealt into blocks whose pairs are separate groups, so
+    neither a task nor a key ever holds it whole.
+    """
+    posted = classes.select("class", F.explode("signature").alias("element"))
+    common = posted.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = posted.join(common, "element")
+    held = shared.groupBy("class").agg(F.collect_list(F.struct("df", "element")).alias("e"))  # at most COORDINATES
+    skip = F.array_max("e")["element"]
+    lists = stage(held.withColumn("skip", skip).select("class", "skip", F.inline("e")).withColumn("skipped", F.col("element") == F.col("skip")))
+    blocks = F.ceil(F.col("df") / F.lit(float(block))).cast("int")
+    own = F.pmod(F.xxhash64("class"), blocks.cast("long")).cast("int")
+    spread = lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = spread.select("class", "skip", "skipped", "element", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    x, y = (spread.select(F.col("class").alias(n), F.col("skip").alias(f"s{n}"), F.col("skipped").alias(f"k{n}"), F.col("own").alias(f"o{n}"), "element", "lo", "hi") for n in "ab")
+    met = x.join(y, ["element", "lo", "hi"]).filter("a < b and not (ka and kb) and (lo = hi or oa <> ob)")
+    count = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first(F.col("sa") == F.col("sb")).alias("both"))
+    return count.filter(F.col("n") + F.col("both").cast("int") >= MATCHES).select("a", "b")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", threshold: float = 0.7, shingle: int = 3, min_words: int = 60, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``(members, pairs)``: classes of texts of one word sequence, and all pairs of classes at least ``threshold`` alike.
 
     ``members`` is ``(id, class)``, one row per distinct id; ``pairs`` is ``(a, b,
     similarity)`` of class numbers, a < b. Copies meet in a class before anything
     is paired, so a group of k copies costs k rows, not k**2.
 
-    Every class is posted under its coordinate-value pairs. Values nobody shares
-    are dropped; the rest are ordered by how many classes have them, and since a
-    pair must agree in MATCHES coordinates, only the COORDINATES - MATCHES + 1
-    rarest of a class can be needed to find it: its most common ones are skipped.
-    Classes that meet are counted over their whole signatures, and those with
-    enough collisions are verified exactly on the shingle sets of their texts.
-    At similarity 0.7 a pair is missed with probability 0.0000014, above it less.
+    Classes that agree in MATCHES coordinates (``_collisions``) are verified exactly
+    on the shingle sets of their texts. At similarity 0.7 a pair is missed with
+    probability 0.0000014, above it less.
 
     Null texts and texts of fewer than ``min_words`` words (or fewer than
     ``shingle``) are in no class; null ids are dropped; of several texts under one
@@ -117,18 +143,7 @@ def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
     classes = stage(signed.groupBy("copy").agg(F.min("id").alias("head"), F.first("signature").alias("signature")).withColumn("class", F.monotonically_increasing_id()))
     members = signed.select("id", "copy").distinct().join(classes.select("copy", "class"), "copy").select("id", "class")
 
-    posted = classes.select("class", F.explode("signature").alias("element"))
-    shared = posted.withColumn("df", F.count("*").over(Window.partitionBy("element"))).filter("df > 1")
-    ranked = shared.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("e"))
-    prefix = F.col("e").getItem("element")
-    ranked = stage(ranked.select("class", F.slice(prefix, 1, F.greatest(F.lit(0), F.size("e") - (MATCHES - 1))).alias("prefix")).filter(F.size("prefix") > 0))
-    posting = ranked.select("class", F.explode("prefix").alias("element"))
-    meet = posting.select(F.col("class").alias("a"), "element").join(posting.select(F.col("class").alias("b"), "element"), "element").filter("a < b")
-    meet = meet.select("a", "b").distinct()
-
-    side = lambda n: classes.select(F.col("class").alias(n), F.col("signature").alias("s" + n))
-    matched = meet.join(side("a"), "a").join(side("b"), "b").filter(F.size(F.array_intersect("sa", "sb")) >= MATCHES)
-    matched = stage(matched.select("a", "b"))
+    matched = stage(_collisions(classes.select("class", "signature"), block))
 
     wanted = matched.select(F.col("a").alias("class")).union(matched.select("b")).distinct().join(classes.select("class", "head"), "class")
     texts = rows.join(bounded_broadcast(stage(wanted.select("class", F.col("head").alias("id")))), "id").groupBy("class").agg(F.min("text").alias("text"))
