@@ -89,7 +89,7 @@ def p7_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    regions = leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edits=0)
     return regions.filter("run_words >= 12").select("doc_id", "item_id").distinct()
 
 

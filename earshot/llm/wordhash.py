@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 
 import numpy as np
@@ -16,6 +17,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@functools.cache
 def alnum_table() -> np.ndarray:
     """True at the code points of letters and digits."""
     return np.frombuffer(bytes(chr(c).isalnum() for c in range(sys.maxunicode + 1)), dtype=bool)

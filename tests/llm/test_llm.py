@@ -271,6 +271,7 @@ def test_leaks_match_brute_force(spark):
             k = r.randrange(max(1, len(w) - 14))
             t[20:20] = [x.upper() + "," for x in w[k : k + r.randrange(9, 16)]]
         docs.append((d, "  ".join(t)))
+    docs.append((70, "start of it " + " ".join(items[20][1].split(" ")[:12]) + "."))  # ends in a mark where the item goes on
     docs += [(1000, None), (1001, ""), (1002, words(60_000, 3) + " " + items[20][1]), (None, items[20][1]), docs[1]]
     want = set()
     for d, t in docs:
@@ -282,8 +283,11 @@ def test_leaks_match_brute_force(spark):
                 want.add((d, i))
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     it = spark.createDataFrame(items, "item_id long, text string")
-    got = leakage.leaked_items(df, it)
-    assert {(x["doc_id"], x["item_id"]) for x in got.filter("run_words >= 12").collect()} == want and len(want) > 8
+    for edits, item_bytes in ((1, leakage.ITEM_BYTES), (0, leakage.ITEM_BYTES), (0, 0), (1, 0)):  # sent to all tasks, and joined on q-grams
+        got = leakage.leaked_items(df, it, edits=edits, item_bytes=item_bytes)
+        assert {(x["doc_id"], x["item_id"]) for x in got.filter("run_words >= 12").collect()} == want and len(want) > 8
+    one, two = (sorted(map(tuple, leakage.leaked_items(df, it, item_bytes=n).collect())) for n in (leakage.ITEM_BYTES, 0))
+    assert one == two
     assert leakage.leaked_items(df.limit(0), it).count() == 0 and leakage.leaked_items(df, it.limit(0)).count() == 0
 
 
