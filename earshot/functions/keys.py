@@ -56,6 +56,11 @@ def parse_date(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(t, F.lit("MMM d, yyyy")), F.try_to_timestamp(t, F.lit("yyyy-MM-dd"))).cast("date")
 
 
+def parse_last_date(texts: Column) -> Column:
+    """``parse_date`` of the last element of an array of texts; null for an empty one."""
+    return parse_date(F.try_element_at(texts, F.lit(-1)))
+
+
 def next_weekday(d: Column) -> Column:
     return F.date_add(d, F.when(F.weekday(d) == 5, 2).when(F.weekday(d) == 6, 1).otherwise(0))
 

@@ -35,6 +35,26 @@ def coverage(df: DataFrame, row: str, column: str) -> DataFrame:
     return grid.join(seen.withColumn("_p", F.lit(1)), [row, column], "left").select(row, column, F.coalesce("_p", F.lit(0)).alias("present"))
 
 
+def non_overlapping(df: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
+    """The matches of each key kept greedily: sorted by start, longest first, each that begins at or after the end of the last one kept.
+
+    A match that begins before the end of every longer run so far can't be kept, so a
+    window first cuts the matches into runs that don't touch; only inside a run is
+    the walk sequential, over its (start, end) pairs. Exact repeats of a match stay once.
+    """
+    m = df.dropDuplicates([*key, start, end])
+    over = Window.partitionBy(*key).orderBy(start, F.desc(end)).rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.coalesce(F.max(end).over(over) <= F.col(start), F.lit(True)).cast("int")
+    run = F.sum("_f").over(Window.partitionBy(*key).orderBy(start, F.desc(end)).rowsBetween(Window.unboundedPreceding, 0))
+    runs = m.withColumn("_f", fresh).withColumn("_run", run)
+    spans = runs.groupBy(*key, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), (-F.col(end)).alias("e")))).alias("_m"))
+    zero = F.struct(F.lit(None).cast("long").alias("to"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("kept"))
+    take = lambda a, x: F.struct((-x["e"]).cast("long").alias("to"), F.array_append(a["kept"], F.struct(x["s"].cast("long").alias("s"), x["e"].cast("long").alias("e"))).alias("kept"))
+    walk = F.aggregate("_m", zero, lambda a, x: F.when(a["to"].isNull() | (x["s"] >= a["to"]), take(a, x)).otherwise(a))["kept"]
+    kept = spans.select(*key, F.explode(walk).alias("_k")).select(*key, F.col("_k.s").cast(df.schema[start].dataType).alias(start), (-F.col("_k.e")).cast(df.schema[end].dataType).alias(end))
+    return m.join(kept, [*key, start, end], "left_semi")
+
+
 def top_bottom(df: DataFrame, by: str, tie: str, k: int) -> DataFrame:
     """The k rows greatest and the k least by a column, ties by ``tie``, with ``side`` and ``rank``."""
     rows = df.filter(F.col(by).isNotNull())

@@ -14,13 +14,14 @@ BROADCAST_BYTES = 64_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share, ``spark.checkpoint.dir``. Where it is unset a local run gets a folder of its own; on a cluster that is an error."""
+    sc = spark.sparkContext
+    conf = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if conf:
         return conf.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="earshot-"))
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="earshot-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
@@ -33,19 +34,38 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Staged folders of this process that haven't been freed.
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result has no lineage, survives the loss of executors, is columnar and
-    compressed, and carries exact size statistics for the planner.
+    compressed, and carries exact size statistics for the planner. Its files stay
+    until ``free`` is called or Python exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged() -> int:
+    """How many folders have been staged; a mark for ``free``."""
+    return len(_STAGED)
+
+
+def free(since: int = 0) -> None:
+    """Remove the folders staged after the mark; results that still read them must be written before."""
+    while len(_STAGED) > since:
+        _remove(*_STAGED.pop())
+
+
+atexit.register(free)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Bytes that the rows of ``df`` take, by their number and the lengths of their values: one pass over what should be a staged or small table."""
     fixed, texts = 8, []

@@ -261,3 +261,101 @@ def test_event_study_p_values(spark):
     got = {r["window"]: r for r in stats.event_study(spark.createDataFrame(rows, "a double, b double"), ["a", "b"]).collect()}
     assert got["a"]["significant"] and not got["b"]["significant"] and abs(got["a"]["p"] - stats.t_p_value(got["a"]["t"], 3)) < 1e-12
     assert abs(stats.t_p_value(2.262157, 9) - 0.05) < 1e-6
+
+
+def test_components_of_a_long_chain(spark):
+    """A chain that takes many rounds is one component; so are two chains two."""
+    n = 3000
+    edges = spark.range(n - 1).selectExpr("concat('a', id) a", "concat('a', id + 1) b").union(spark.range(50).selectExpr("concat('b', id) a", "concat('b', id + 1) b"))
+    got = graph.connected_components(edges).groupBy("component").count().collect()
+    assert sorted(r["count"] for r in got) == [51, n]
+
+
+def test_many_tab_fields_and_lines(spark):
+    """Speech after the 1,000th field and all lines stay."""
+    text = "7\tAnn Lee\t" + "\t".join(f"w{i}" for i in range(1200))
+    got = one(spark, "Earnings Call Transcript\n" + text + "\n" + "\n".join(["x\ty"] * 5), transcripts.clean_tabbed)
+    assert got.startswith("Ann Lee\nw0 w1") and "w1199" in got and got.count("x\ny") == 5
+
+
+def test_file_and_folder_keys(spark):
+    assert one(spark, "2021_Q3_abc whatever.pdf", transcripts.file_quarter) == "2021Q3" and one(spark, "x2021_Q3_a.txt", transcripts.file_quarter) is None
+    names = {"Acme": "ACM", "acme": "OTH", "Beta Co": "BET"}
+    for folder, want in (("Acme", "ACM"), ("acme", "OTH"), ("ACME", "ACM"), ("beta co", "BET"), ("gamma", "GAMMA"), (None, None)):
+        assert one(spark, folder, lambda c: transcripts.folder_ticker(c, names)) == want
+    assert one(spark, "gamma", lambda c: transcripts.folder_ticker(c, {})) == "GAMMA"
+
+
+def test_prices_are_fetched_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def fetch(ticker):
+        (calls / f"{ticker}-{len(list(calls.iterdir()))}").write_text("")
+        if ticker == "BAD":
+            raise OSError
+        return [("2021-01-04T00:00:00-05:00", 10, 5), ("2021-01-05", 11.5, 6)]
+
+    events = spark.createDataFrame([("A",), ("A",), ("BAD",), (None,)], "ticker string")
+    path = str(tmp_path / "prices")
+    for _ in range(2):
+        got = transcripts.prices(spark, path, fetch, events, tries=2, wait=0.01)
+        assert [(r["ticker"], str(r["date"]), r["close"]) for r in got.orderBy("date").collect()] == [("A", "2021-01-04", 10.0), ("A", "2021-01-05", 11.5)]
+    assert len([f for f in calls.iterdir() if f.name.startswith("A")]) == 1 and transcripts.prices(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_dimension_files(spark, tmp_path):
+    (tmp_path / "c.json").write_text('[{"ticker": "A", "name": "Acme"}, {"ticker": "B", "name": "Beta", "sector": "X", "more": 1}]')
+    (tmp_path / "cal.csv").write_text('ticker,quarter,date\na,Q1 2021,"Jan. 5, 2021"\nb,2021Q2,soon\n')
+    assert [tuple(r) for r in transcripts.companies(spark, str(tmp_path / "c.json")).orderBy("ticker").collect()] == [("A", "Acme", None, None), ("B", "Beta", "X", None)]
+    assert [tuple(r) for r in transcripts.calendar(spark, str(tmp_path / "cal.csv")).collect()] == [("A", "2021Q1", date(2021, 1, 5))]
+    spark.createDataFrame([("c", '["x"]', '[{"category": "x", "negated": false}]', 1)], "chunk_id string, risk_categories string, risk_details string, risk_count long").write.parquet(str(tmp_path / "r"))
+    r = transcripts.chunks_with_risk(spark, str(tmp_path / "r")).first()
+    assert r["risk_categories"] == ["x"] and r["risk_details"][0]["category"] == "x" and r["text"] is None
+
+
+def test_swap_keeps_the_table_whatever_happens(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.upsert_table(spark.createDataFrame([("a", 1), ("a", 2)], "k string, v int"), path, ["k"], [F.desc("v")])
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("a", 2)]
+    broken = spark.createDataFrame([("b", 1)], "k string, v int").withColumn("v", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception):
+        sinks.upsert_table(broken, path, ["k"])
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("a", 2)]
+    (tmp_path / "t").rename(tmp_path / "t.old-x")  # cut off between the two moves
+    sinks.upsert_table(spark.createDataFrame([("b", 3)], "k string, v int"), path, ["k"])
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("a", 2), ("b", 3)]
+
+
+def test_a_file_per_row(spark, tmp_path):
+    df = spark.createDataFrame([("A", "2021Q1", "hello"), ("B/C", "2021Q1", "héllo there"), ("A", "2021Q1", "hi")], "ticker string, quarter string, transcript_text string")
+    out = {r["ticker"]: r["file_path"] for r in sinks.write_texts(df, str(tmp_path / "texts")).collect()}
+    assert open(out["A"]).read() == "hello" and open(out["B/C"], encoding="utf-8").read() == "héllo there" and len(out) == 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_non_overlapping_matches_equal_the_greedy_walk(spark, seed):
+    from earshot.operators import relational
+
+    r = np.random.default_rng(seed)
+    spans = sorted({(int(s), int(s + n)) for s, n in zip(r.integers(0, 60, 40), r.integers(1, 9, 40))}, key=lambda x: (x[0], -x[1]))
+    want, to = [], -1
+    for s, e in spans:
+        if s >= to:
+            want.append((s, e))
+            to = e
+    got = relational.non_overlapping(spark.createDataFrame([("k", s, e) for s, e in [*spans, spans[0]]], "k string, s int, e int"), ["k"], "s", "e")
+    assert sorted((x["s"], x["e"]) for x in got.collect()) == want
+
+
+def test_staged_folders_are_freed(spark):
+    import os
+
+    from earshot import storage
+
+    mark = storage.staged()
+    df = storage.stage(spark.range(5))
+    path = storage._STAGED[-1][1].replace("file:", "").replace("//", "/")
+    assert os.path.isdir(path) and df.count() == 5
+    storage.free(mark)
+    assert not os.path.isdir(path) and storage.staged() == mark
