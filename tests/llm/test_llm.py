@@ -498,10 +498,10 @@ def test_groups_report_what_means_nothing(spark):
 
 @pytest.mark.parametrize("block", [2, 7, 10_000])
 def test_collisions_match_brute_force_however_values_are_cut(spark, block):
-    """One value shared by a third of all classes, cut into blocks: the pairs are those that agree in two coordinates."""
+    """One value shared by a third of all classes, cut into blocks: the pairs are those that agree in enough coordinates."""
     r = random.Random(block)
-    rows = [(i, [7 if k == 0 and i % 3 == 0 else 1000 * k + r.randrange(9) for k in range(6)]) for i in range(60)] + [(100, [1, 2, 3])]
+    rows = [(i, [7 if k == 0 and i % 3 == 0 else 1000 * k + r.randrange(5) for k in range(7)]) for i in range(60)] + [(100, [1, 2, 3])]
     df = spark.createDataFrame(rows, "class bigint, signature array<bigint>")
-    want = {(a, b) for a, x in rows for b, y in rows if a < b and len(set(x) & set(y)) >= 2}
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and len(set(x) & set(y)) >= neardup.MATCHES}
     got = [tuple(x) for x in neardup._collisions(df, block).collect()]
-    assert set(got) == want and len(got) == len(want) and len(want) > 50
+    assert set(got) == want and len(got) == len(want) and len(want) > 20
