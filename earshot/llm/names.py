@@ -50,7 +50,7 @@ def roots(token: str) -> tuple[str, ...]:
 
 
 #: Letters a word needs to be taken for another one edit away, two edits away, and so on.
-EDIT_LENGTHS = (4, 12)
+EDIT_LENGTHS = (4, 20)
 
 
 def allowed(length: int, lengths: tuple[int, ...] = EDIT_LENGTHS) -> int:
