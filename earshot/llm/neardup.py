@@ -14,7 +14,7 @@ from earshot.operators.graph import connected_components
 from earshot.storage import bounded_broadcast, stage
 
 #: Coordinates of a signature, minima in a coordinate, and coordinates in which a pair must agree.
-COORDINATES, ROWS, MATCHES = 44, 3, 3
+COORDINATES, ROWS, MATCHES = 48, 4, 2
 #: Postings of one coordinate value that one task may pair; a more common value is cut into blocks, and the pairs of its blocks are spread.
 BLOCK = 2_000
 
@@ -131,7 +131,7 @@ def near_duplicates(df: DataFrame, id_col: str = "chunk_id", text_col: str = "te
 
     Classes that agree in MATCHES coordinates (``_collisions``) are verified exactly
     on the shingle sets of their texts. At similarity 0.7 a pair is missed with
-    probability 0.0000026, above it less.
+    probability 0.00003, above it less.
 
     Null texts and texts of fewer than ``min_words`` words (or fewer than
     ``shingle``) are in no class; null ids are dropped; of several texts under one
