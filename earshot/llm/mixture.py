@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from earshot.storage import stage
 
-#: Where the vocabulary files of public tokenizers lie, unless a path is given.
+#: Where the vocabulary files of public tokenizers lie on every machine, unless a path is given; the file goes with the job like any input.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-#: Languages that are cells of their own; the rest share one.
-LANGUAGES = ("en", "de", "fr", "es")
-#: Topics by words of a title. Fixed values; the first that fits counts.
+#: Share of all tokens a language or topic needs to be a cell of its own; the rest share one, so there are at most 100 of each.
+CELL_SHARE = 0.01
+#: Topics by words of a title, for documents that come without a topic; the first that fits counts.
 TOPICS = {"results": "result|quarter|earnings|recap|summary", "outlook": "outlook|guidance|forecast|view|preview", "calls": "call|conference|transcript|webcast|q&a", "notes": "note|comment|update|brief"}
 
 
@@ -66,6 +66,9 @@ def rake(tokens: np.ndarray, shares: np.ndarray, caps: np.ndarray, rounds: int =
     each round, so that their shares are met exactly wherever their tokens
     suffice. The total is the largest at which every source can fill its share
     within its cap; a source without tokens is left out and the rest scaled up.
+    Where caps bind, the margins of language and topic are met as nearly as they
+    allow (``mix_margins`` reports them); a warning tells if the rounds end before the
+    weights settle.
     """
     have = tokens.sum((1, 2))
     live = (have > 0) & (shares > 0)
@@ -94,18 +97,35 @@ def rake(tokens: np.ndarray, shares: np.ndarray, caps: np.ndarray, rounds: int =
                 break
         if np.abs(w - before).max() < tol:
             break
+    else:
+        warnings.warn(f"weights still move by {np.abs(w - before).max():.2g} after {rounds} rounds; caps keep some margins from being met", stacklevel=2)
     return w
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", title_col: str = "title", tokenizer: str | None = None, seed: int = 11, per_bucket: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def mixture_cells(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", title_col: str = "title", topic_col: str | None = None, tokenizer: str | None = None) -> DataFrame:
+    """``(id, source, lang, topic, n_tokens)`` of the documents that can take part in a mixture: those with an id, tokens and a source among the targets."""
+    names = [r[0] for r in targets.select("source").dropna().distinct().collect()]  # the list of sources
+    topic = topic_of(F.coalesce(F.col(title_col), F.lit(""))) if topic_col is None else F.col(topic_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit("other")).alias("lang"), F.coalesce(topic, F.lit("other")).alias("topic"), F.col(text_col).alias("_text"))
+    rows = rows.dropna(subset=["id", "source", "_text"]).filter(F.col("source").isin(names))
+    counted = stage(token_counts(rows, "_text", tokenizer=tokenizer).filter("n_tokens > 0"))
+    for c in ("lang", "topic"):
+        share = counted.groupBy(c).agg(F.sum("n_tokens").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+        big = sorted(r[c] for r in share.filter(F.col("share") >= CELL_SHARE).collect() if r[c] != "other")  # at most 1 / CELL_SHARE
+        counted = counted.withColumn(c, F.when(F.col(c).isin(big), F.col(c)).otherwise("other"))
+    return counted
+
+
+def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", title_col: str = "title", topic_col: str | None = None, tokenizer: str | None = None, seed: int = 11, per_bucket: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """``(records, shares)``: which documents the mixture holds, how often, and what shares that reaches.
 
     ``records`` is ``(id_col, source, lang, topic, n_tokens, weight, repeats)`` with
     repeats of at least 1; ``shares`` has one row per target: its share, cap,
     tokens available, tokens used, share reached, mean repeats.
 
-    Tokens are summed per cell of source, language and topic, a table bounded by
-    the targets and the listed languages and topics, which is raked on the driver.
+    Tokens are summed per cell of source, language and topic (``topic_col``, or by the
+    title's words), a table bounded by the targets and ``CELL_SHARE``, which is raked
+    on the driver.
     A document is then taken floor(weight) times, and once more where the running
     sum of the remainders of its bucket, sorted by cell and size, passes a whole
     number: systematic sampling, so each bucket meets its expectation to
@@ -120,13 +140,10 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
     goal = targets.select(F.col("source").alias("t"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("cap")).dropna()
     goals = goal.groupBy("t").agg(F.sum("share").alias("share"), F.max("cap").alias("cap")).orderBy("t").collect()
     names = [r["t"] for r in goals]
-    lang = F.when(F.col(lang_col).isin(*LANGUAGES), F.col(lang_col)).otherwise("other")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), lang.alias("lang"), topic_of(F.coalesce(F.col(title_col), F.lit(""))).alias("topic"), F.col(text_col).alias("_text"))
-    rows = rows.dropna(subset=["id", "source", "_text"]).filter(F.col("source").isin(names))
-    counted = stage(token_counts(rows, "_text", tokenizer=tokenizer).filter("n_tokens > 0"))
+    counted = mixture_cells(docs, targets, id_col, text_col, source_col, lang_col, title_col, topic_col, tokenizer)
     cells = counted.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect()
 
-    langs, topics = [*LANGUAGES, "other"], [*TOPICS, "other"]
+    langs, topics = ([*sorted({c[x] for c in cells} - {"other"}), "other"] for x in ("lang", "topic"))
     tokens = np.zeros((len(names), len(langs), len(topics)))
     size = dict.fromkeys(names, 0)
     for c in cells:
@@ -153,3 +170,20 @@ def mix_sources(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
     shares = goal.select(F.col("t").alias("source"), F.col("share").alias("target_share"), F.col("cap").alias("max_repeats")).join(have, "source", "left").join(used, "source", "left")
     shares = shares.fillna(0, ["available_tokens", "documents", "used_tokens", "most_repeats"])
     return records, shares.withColumn("reached_share", F.col("used_tokens") / F.sum("used_tokens").over(Window.partitionBy()))
+
+
+def mix_margins(docs: DataFrame, records: DataFrame, shares: DataFrame) -> DataFrame:
+    """``(axis, value, wanted, reached)``: shares of the languages and topics of a mixture, against those of the corpus within the sources that take part.
+
+    ``docs`` are the counted documents ``(source, lang, topic, n_tokens)``; ``records`` and
+    ``shares`` those of ``mix_sources``.
+    """
+    live = shares.filter("documents > 0 and target_share > 0").select("source")
+    out = None
+    for axis in ("lang", "topic"):
+        share = lambda df, n: df.groupBy(F.col(axis).alias("value")).agg(F.sum(n).alias("n")).withColumn("s", F.col("n") / F.sum("n").over(Window.partitionBy()))  # noqa: B023, E731
+        want = share(docs.join(F.broadcast(live), "source"), F.col("n_tokens")).select("value", F.col("s").alias("wanted"))
+        have = share(records, F.col("n_tokens") * F.col("repeats")).select("value", F.col("s").alias("reached"))
+        one = want.join(have, "value", "left").select(F.lit(axis).alias("axis"), "value", "wanted", F.coalesce("reached", F.lit(0.0)).alias("reached"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earshot.llm import boilerplate, canonical, leakage, mixture, names, neardup, pii, split, splits, turns
@@ -60,9 +60,20 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, companies, share against its target, and mean outcome of each split."""
     rows = p5_splits(spark, sf_dir)
     y = F.nanvl("abnormal_ret_1d", F.lit(None).cast("double"))
-    return rows.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("company").alias("companies"), F.avg(y).alias("mean_ret"), F.stddev(y).alias("sd_ret"))
+    got = rows.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("company").alias("companies"), F.avg(y).alias("mean_ret"), F.stddev(y).alias("sd_ret"))
+    want = table(spark, sf_dir, "split_targets").select(F.col("split_name").alias("split"), "target_share")
+    return want.join(got, "split", "left").withColumn("reached_share", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()))
+
+
+def p5_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents split by two keys at once: those of one call, and those with one text under other ids, stay together."""
+    docs = table(spark, sf_dir, "documents")
+    call = F.when(F.col("ticker").isNotNull() & F.col("quarter").isNotNull(), F.concat_ws(" ", F.upper(F.trim("ticker")), F.upper(F.regexp_replace("quarter", "[ -]", ""))))
+    keyed = docs.select("doc_id", call.alias("call"), F.when(F.length(F.trim("text")) > 0, F.sha2("text", 256)).alias("copy"))
+    return splits.grouped_splits(keyed, ["call", "copy"], table(spark, sf_dir, "split_targets")).select("doc_id", "call", "copy", "component", "split")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +116,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    return mixture.mix_margins(mixture.mixture_cells(docs, targets), *mixture.mix_sources(docs, targets))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_details(table(spark, sf_dir, "documents")).select("doc_id", "kind", "value").distinct()
 

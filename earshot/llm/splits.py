@@ -49,7 +49,6 @@ def _bin_level(parts: DataFrame, bins: int, groups: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, g in _by_group(batches):
             g = g.sort_values(["weight", "part"], ascending=[False, True])
-            # Parts of alike weight enter alternately from both ends of the outcome, so that bins don't collect one tail.
             at = difference([float(w) for w in g["weight"]], bins)
             yield pd.DataFrame({"part": g["part"].to_numpy(), "bin": [f"{key}-{b}" for b in at]})
 
@@ -86,8 +85,9 @@ def deal_bins(stats: list[tuple[str, float, float, float]], shares: list[tuple[s
 
     The heaviest bins go first, each to the split that is then nearest its share
     of rows; among splits equally short, to the one whose mean outcome comes
-    nearest the overall mean. Swaps of bins of like weight then bring the means
-    together as long as that helps.
+    nearest the overall mean. Beyond the method, swaps of bins of like weight then
+    bring the means together as long as that helps; shares move by half a per cent
+    at most.
     """
     total = sum(s[1] for s in stats) or 1.0
     whole = sum(s for _, s in shares) or 1.0

@@ -505,3 +505,36 @@ def test_collisions_match_brute_force_however_values_are_cut(spark, block):
     want = {(a, b) for a, x in rows for b, y in rows if a < b and len(set(x) & set(y)) >= neardup.MATCHES}
     got = [tuple(x) for x in neardup._collisions(df, block).collect()]
     assert set(got) == want and len(got) == len(want) and len(want) > 20
+
+
+def test_margins_are_met_where_caps_allow():
+    """Sources, languages and topics all meet their shares if no cap binds; with tight caps the sources still do."""
+    r = np.random.default_rng(1)
+    tokens, shares = r.uniform(500, 1500, (4, 3, 2)), np.array([0.4, 0.3, 0.2, 0.1])
+    w = mixture.rake(tokens, shares, np.full(4, 50.0))
+    got = w * tokens
+    assert np.allclose(got.sum((1, 2)) / got.sum(), shares, atol=1e-6)
+    for axes in ((0, 2), (0, 1)):
+        assert np.allclose(got.sum(axes) / got.sum(), tokens.sum(axes) / tokens.sum(), atol=1e-4)
+    tight = mixture.rake(tokens, shares, np.array([1.0, 3.0, 3.0, 3.0])) * tokens
+    assert np.allclose(tight.sum((1, 2)) / tight.sum(), shares, atol=1e-6)
+
+
+def test_topics_of_ones_own(spark):
+    docs = spark.createDataFrame([(i, "word " * (20 + i % 7), "ab"[i % 2], "en", "t", "xyz"[i % 3]) for i in range(300)], "doc_id long, text string, source string, lang string, title string, topic string")
+    targets = spark.createDataFrame([("a", 0.7, 3), ("b", 0.3, 3)], "source string, target_share double, max_repeats int")
+    records, shares = mixture.mix_sources(docs, targets, topic_col="topic")
+    assert {x["topic"] for x in records.select("topic").distinct().collect()} == set("xyz")
+    assert all(abs(x["reached_share"] - x["target_share"]) < 0.02 for x in shares.collect())
+    for m in mixture.mix_margins(mixture.mixture_cells(docs, targets, topic_col="topic"), records, shares).collect():
+        assert abs(m["wanted"] - m["reached"]) < 0.03
+
+
+def test_levels_balance_as_well_as_one(spark):
+    """Bins of a level-wise balance and of a single one differ by less than a hundredth of a bin."""
+    parts = spark.range(3000).select(F.col("id").cast("string").alias("part"), (F.pmod(F.xxhash64("id"), F.lit(97)) + 1).cast("double").alias("weight"))
+    spread = {}
+    for group in (500, 4000):
+        sums = splits.balanced_bins(parts, 20, group=group).join(parts, "part").groupBy("bin").agg(F.sum("weight").alias("w")).toPandas().w
+        spread[group] = (sums.max() - sums.min()) / sums.mean()
+    assert max(spread.values()) < 0.01, spread
