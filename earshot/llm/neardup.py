@@ -43,7 +43,7 @@ def _signatures(shingles: np.ndarray, first: np.ndarray, seed: int = 7) -> np.nd
 
 
 def _sign(df: DataFrame, min_words: int, shingle: int) -> DataFrame:
-    """``(id, copy, signature)`` of each text of enough words; ``copy`` is a 128-bit digest of its word sequence."""
+    """``(id, copy, signature)`` of each text of enough words, 32 bits a coordinate; ``copy`` is a 128-bit digest of its word sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = alnum_table()
@@ -65,12 +65,12 @@ def _sign(df: DataFrame, min_words: int, shingle: int) -> DataFrame:
                     [
                         batch.column(0).take(pa.array(keep + lo)),
                         pa.array([digest[16 * i : 16 * i + 16] for i in range(len(keep))], pa.binary()),
-                        pa.FixedSizeListArray.from_arrays(pa.array(signature.astype(np.int64).ravel()), COORDINATES).cast(pa.list_(pa.int64())),
+                        pa.FixedSizeListArray.from_arrays(pa.array((signature >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel()), COORDINATES).cast(pa.list_(pa.int32())),
                     ],
                     names=["id", "copy", "signature"],
                 )
 
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, copy binary, signature array<bigint>")
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, copy binary, signature array<int>")
 
 
 def _similarity(pairs: DataFrame, shingle: int) -> DataFrame:
@@ -106,7 +106,7 @@ def _collisions(classes: DataFrame, block: int) -> DataFrame:
     ``block`` postings is dealt into blocks whose pairs are separate groups, so
     neither a task nor a key ever holds it whole.
     """
-    posted = classes.select("class", F.explode("signature").alias("element"))
+    posted = classes.select("class", F.posexplode("signature").alias("k", "v")).select("class", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("element"))
     common = posted.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1")
     shared = posted.join(common, "element")
     held = shared.groupBy("class").agg(F.collect_list(F.struct("df", "element")).alias("e"))  # at most COORDINATES
