@@ -67,3 +67,49 @@ def next_weekday(d: Column) -> Column:
 
 def previous_weekday(d: Column) -> Column:
     return F.date_sub(d, F.when(F.weekday(d) == 5, 1).when(F.weekday(d) == 6, 2).otherwise(0))
+
+
+#: A ticker behind its exchange, in upper-case text. Fixed value.
+EXCHANGE = r"(?:NASDAQ|NYSE|TICKER)[:\s]+([A-Z]{1,5})"
+#: How a quarter is written in upper-case text, first that fits: (pattern, group of the year, group of the quarter or the quarter itself). Fixed values.
+QUARTERS = [(r"Q(\d)\s*[-/]?\s*(20\d{2})", 2, 1), (r"(20\d{2})\s*[-/]?\s*Q(\d)", 1, 2)] + [
+    (word + r"\s+QUARTER\s+(?:OF\s+)?(?:FISCAL\s+(?:YEAR\s+)?)?(20\d{2})", 1, (n,)) for word, n in (("FIRST", "1"), ("SECOND", "2"), ("THIRD", "3"), ("FOURTH", "4"), ("1ST", "1"), ("2ND", "2"), ("3RD", "3"), ("4TH", "4"))
+]
+
+
+def quarter_in(text: Column, patterns: list = QUARTERS) -> Column:
+    """The quarter that an upper-case text names first by the order of the patterns, else null."""
+    out = None
+    for p, y, q in patterns:
+        got = F.concat(F.regexp_extract(text, p, y), F.lit("Q"), F.regexp_extract(text, p, q) if isinstance(q, int) else F.lit(q[0]))
+        out = F.when(text.rlike(p), got) if out is None else out.when(text.rlike(p), got)
+    return out
+
+
+def detect_call(docs: DataFrame, id_col: str, text_col: str, companies: DataFrame, file_col: str | None = None) -> DataFrame:
+    """``(id_col, ticker, quarter)`` of each text: what an exchange stands before, else the company whose name is the longest in the text, else what the file's name says.
+
+    Names and texts meet by the name's first word, then the whole name is looked for;
+    among names equally long the least ticker counts. A file name counts for its
+    ticker (letters before the first ``-``, ``_`` or blank, if the text has none), for a
+    company name in it without blanks (which wins over the text), and for its
+    quarter if the text names none. Unknown is null. One row per row of ``docs``.
+    """
+    word = r"[\p{L}\p{N}]+"
+    rows = docs.select(F.col(id_col).alias("id"), F.upper(text_col).alias("t"), F.upper(F.coalesce(F.col(file_col), F.lit("")) if file_col else F.lit("")).alias("f")).withColumn("k", F.xxhash64("id", "t", "f"))
+    names = companies.select(F.col("ticker").alias("ticker"), F.upper("name").alias("name")).dropna().filter("name <> ''").withColumn("w", F.regexp_extract("name", word, 0))
+    names = names.withColumn("flat", F.regexp_replace("name", r"[ '_-]", ""))
+    seen = rows.select("k", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(word), F.lit(0)))).alias("w")).join(names, "w")
+    may = seen.groupBy("k").agg(F.collect_set(F.struct((-F.length("name")).alias("l"), "ticker", "name")).alias("c"))  # names that share a first word with one text
+    named = F.try_element_at(F.array_sort(F.filter("c", lambda c: F.contains(F.col("t"), c["name"]))), F.lit(1))["ticker"]
+    x = rows.join(may, "k", "left").withColumn("ticker", F.coalesce(F.nullif(F.regexp_extract("t", EXCHANGE, 1), F.lit("")), named)).withColumn("quarter", quarter_in(F.col("t")))
+    if file_col:
+        parts = F.filter(F.split("f", r"[^\p{L}\p{N}']+"), lambda w: w != "")
+        runs = F.flatten(F.transform("p", lambda _, i: F.transform(F.sequence(F.lit(1), F.size("p") - i), lambda n: F.regexp_replace(F.array_join(F.slice("p", i + 1, n), ""), "'", ""))))  # neighbouring parts of one file name
+        flat = rows.select("k", parts.alias("p")).filter(F.size("p") > 0).select("k", F.explode(F.array_distinct(runs)).alias("flat"))
+        inside = flat.join(names.select("ticker", "flat"), "flat").groupBy("k").agg(F.min_by("ticker", F.struct(-F.length("flat"), "ticker")).alias("by_file"))
+        x = x.join(inside, "k", "left")
+        own = F.nullif(F.regexp_extract("f", r"^([A-Z]{1,5})[-_ ]", 1), F.lit(""))
+        filed = [(r"(20\d{2})\s*[-_]?\s*Q(\d)", 1, 2), (r"Q(\d)\s*[-_]?\s*(20\d{2})", 2, 1)]
+        x = x.withColumn("ticker", F.coalesce("by_file", "ticker", own)).withColumn("quarter", F.coalesce("quarter", quarter_in(F.col("f"), filed)))
+    return x.select(F.col("id").alias(id_col), "ticker", "quarter")

@@ -3,36 +3,95 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.functions.text import role_of_title, strip
+from earshot.functions.text import contains_any, let, qa_boundary, role_of_title, strip, strip_boilerplate, turn_section
+from earshot.operators.relational import keep_one
+from earshot.storage import stage
 
-#: A line that names its speaker: name, perhaps a title behind a dash, comma or in brackets, then a colon or the line's end.
-HEADER = r"^\[?([A-Z][\p{L}.'-]+(?: [A-Z][\p{L}.'-]+){1,4}|Operator)\]?(?:\s*(?:--|—|,|\()\s*([^:)\n]{1,60}?)\)?)?(?::(?:\s|$)|\s*$)"
+_NAME = r"\p{Lu}[\p{L}.'-]+(?: \p{Lu}[\p{L}.'-]+)"
+#: How a line may name its speaker, as (pattern, group of the title or 0): whole lines first, then lines that go on with speech.
+HEADERS = [
+    (rf"^({_NAME}{{1,4}})\s*--\s*(.+)$", 2),
+    (rf"^({_NAME}{{1,4}})\s*—\s*(.+)$", 2),
+    (rf"^({_NAME}{{1,4}})\s*\(([^)]+)\)\s*$", 2),
+    (rf"^({_NAME}{{1,4}}),\s*(.+?):\s*$", 2),
+    (r"^\[(\p{Lu}[\p{L}\s.'-]+)\]\s*$", 0),
+    (rf"^({_NAME}{{1,4}}|Operator):\s*$", 0),
+    (rf"^({_NAME}+),\s+(.+?):\s+(?=\p{{Lu}})", 2),
+    (rf"^({_NAME}+)\s+\(([^)]+)\):\s+(?=\p{{Lu}})", 2),
+    (r"^(\p{Lu}{2,}(?:\s\p{Lu}{2,})+):\s+", 0),
+    (r"^(Operator):\s+", 0),
+]
+#: What looks like a name and is none. They must equal those of the measures reproduced here.
 HEADINGS = ["prepared remarks", "question-and-answer session", "questions and answers", "forward-looking statements", "safe harbor"]
+#: What the person says who opens a call. Fixed values, as above.
+IR_CUES = ["investor relations", "on the call with me", "joining us today are", "with me today are", "on today's call are"]
+UNCLEAR = ["Unknown", "Other"]
 
 
-def turns(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """``(key, turn, speaker, title, role, words)``: turns of transcripts by their header lines, and the role from a speaker's title wherever it was given.
+def header(line: Column) -> Column:
+    """Struct of speaker, title (empty if none) and said (what follows on the line), or null for a line that names nobody."""
+    out = None
+    for p, t in HEADERS:
+        hit = line.rlike(p)
+        got = F.struct(F.trim(F.regexp_extract(line, p, 1)).alias("speaker"), (F.trim(F.regexp_extract(line, p, t)) if t else F.lit("")).alias("title"), F.regexp_replace(line, p, "").alias("said"))
+        out = F.when(hit, got) if out is None else out.when(hit, got)
+    return let(out, lambda h: F.when(~F.lower(h["speaker"]).isin(HEADINGS), h))
+
+
+def turns(df: DataFrame, key: list[str], text: str = "text", classify: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``(key, turn, speaker, title, role, words)``: turns of transcripts by their header lines, with the role of each speaker.
 
     Lines are numbered, headers counted up to each line, and lines of one count
-    gathered; text before the first header has no speaker and is turn 0.
+    gathered; text before the first header is turn 0 and has no speaker, turns without
+    words are left out. A text of fewer than two headers is one turn of ``Unknown``.
+
+    A role is that of the turn's own title; without one, that of a title the speaker
+    has elsewhere in the text, or of what follows the name in the text's first fifth
+    (80 characters, up to the next speaker's name), or of the name itself. A speaker
+    who is still unclear and opens a turn like the person who opens calls is
+    ``IR``; whoever remains gets what ``classify`` makes of the turn's words, if that is
+    given and isn't ``Unknown``. Null texts have no turn.
     """
-    lines = df.filter(F.col(text).isNotNull()).select(*key, F.posexplode(F.split(F.col(text), "\r?\n")).alias("n", "line"))
-    name = F.regexp_extract("line", HEADER, 1)
-    is_head = (name != "") & ~F.lower(name).isin(HEADINGS) & ((F.col("line").rlike(r"^\[|:|--|—|\(")) | (name == "Operator"))
-    x = lines.withColumn("speaker", F.when(is_head, name)).withColumn("title", F.when(is_head, F.nullif(F.regexp_extract("line", HEADER, 2), F.lit(""))))
-    over = Window.partitionBy(*key).orderBy("n")
-    x = x.withColumn("turn", F.count("speaker").over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    said = F.when(F.col("speaker").isNotNull(), F.regexp_replace("line", HEADER, "")).otherwise(F.col("line"))
-    t = x.groupBy(*key, "turn").agg(F.max("speaker").alias("speaker"), F.max("title").alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", said.alias("s")))), lambda v: v["s"]), "\n").alias("words"))
-    known = F.last("title", ignorenulls=True).over(Window.partitionBy(*key, F.lower("speaker")).orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    role = F.when(F.lower("speaker") == "operator", "Operator").otherwise(role_of_title(known))
-    return t.withColumn("role", role).withColumn("words", strip(F.col("words")))
+    texts = df.filter(F.col(text).isNotNull()).select(*key, F.col(text).alias("_text"))
+    lines = texts.select(*key, F.posexplode(F.split("_text", "\r?\n")).alias("n", "line"))
+    lines = lines.select(*key, "n", "line", F.explode(F.array(header(F.col("line")))).alias("h"))
+    whole = Window.partitionBy(*key)
+    so_far = whole.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("_heads", F.count("h").over(whole)).withColumn("turn", F.count("h").over(so_far))
+    few = F.col("_heads") < 2
+    lines = lines.select(*key, "n", F.when(few, 1).otherwise(F.col("turn")).alias("turn"), F.when(few, F.lit("Unknown")).otherwise(F.col("h.speaker")).alias("speaker"), F.when(few, F.lit("")).otherwise(F.col("h.title")).alias("title"), few.alias("few"), F.when(few | F.col("h").isNull(), F.col("line")).otherwise(F.col("h.said")).alias("said"))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("n", "said"))), lambda v: v["said"])
+    t = lines.groupBy(*key, "turn", "few").agg(F.max("speaker").alias("speaker"), F.max("title").alias("title"), strip(F.array_join(said, "\n")).alias("words"))
+    t = stage(t.withColumn("who", F.lower("speaker")))
+
+    clear = lambda r: F.when(~r.isin(UNCLEAR), r)
+    titled = F.max_by(clear(role_of_title(F.col("title"))), F.when(clear(role_of_title(F.col("title"))).isNotNull(), F.col("turn")))
+    people = t.filter("not few and who is not null").groupBy(*key, "who").agg(titled.alias("titled"))
+    names = people.groupBy(*key).agg(F.array_sort(F.collect_set("who")).alias("names"))  # the speakers of one call
+    intro = texts.dropDuplicates(key).select(*key, F.lower(F.expr("substring(_text, 1, length(_text) div 5)")).alias("intro"))
+    ask = people.filter("titled is null").join(names, key).join(intro, key)
+    after = F.slice(F.split("intro", F.concat(F.lit("\\Q"), F.col("who"), F.lit("\\E"))), F.lit(2), F.greatest(F.size(F.split("intro", F.concat(F.lit("\\Q"), F.col("who"), F.lit("\\E")))) - 1, F.lit(0)))
+    short = lambda c: strip(F.regexp_replace(F.substring(c, 1, 80), r"\s+", " "))
+    alone = lambda c: F.aggregate(F.filter("names", lambda o: o != F.col("who")), c, lambda a, o: F.call_function("substring_index", a, o, F.lit(1)))
+    found = F.filter(F.transform(F.transform(after, short), lambda c: role_of_title(alone(c))), lambda r: ~r.isin(UNCLEAR))
+    ask = ask.select(*key, "who", F.try_element_at(found, F.lit(1)).alias("introduced"))
+    t = t.join(people, [*key, "who"], "left").join(ask, [*key, "who"], "left")
+    own = F.when(F.col("few"), F.lit("Unknown")).when(F.col("title") != "", role_of_title(F.col("title"))).otherwise(F.coalesce("titled", "introduced", role_of_title(F.col("speaker"))))
+    t = t.filter("words <> ''").withColumn("role", own)
+    by = Window.partitionBy(*key, "who")
+    opens = F.max(F.col("role").isin(UNCLEAR) & ~F.col("few") & contains_any(F.lower(F.substring("words", 1, 500)), IR_CUES)).over(by)
+    t = t.withColumn("role", F.when(F.col("role").isin(UNCLEAR) & opens, F.lit("IR")).when(F.col("role").isin(UNCLEAR), F.coalesce("titled", "introduced", "role")).otherwise(F.col("role")))
+    if classify is not None:
+        t = t.withColumn("_guess", F.when(F.col("role").isin(UNCLEAR) & ~F.col("few"), classify(F.col("words"))))
+        last = F.max_by("_guess", F.when(F.col("_guess") != "Unknown", F.col("turn"))).over(by)
+        t = t.withColumn("role", F.when(F.col("role").isin(UNCLEAR), F.coalesce(last, "role")).otherwise(F.col("role")))
+    return t.select(*key, "turn", "speaker", F.nullif("title", F.lit("")).alias("title"), "role", "words")
 
 
 def chunk_sentences(text: str, size: int = 400, overlap: int = 50, least: int = 50) -> list[str]:
@@ -43,13 +102,14 @@ def chunk_sentences(text: str, size: int = 400, overlap: int = 50, least: int =
         if now and n + w > size:
             if n >= least:
                 out.append(" ".join(now))
-            kept, m = [], 0
-            for p in reversed(now):
+            first, m = len(now), 0
+            for j in range(len(now) - 1, -1, -1):
+                m += len(now[j].split())
                 if m >= overlap:
+                    first = j
                     break
-                kept.insert(0, p)
-                m += len(p.split())
-            now, n = (kept, m) if len(kept) < len(now) else ([], 0)
+            now = now[first:]
+            n = sum(len(p.split()) for p in now)
         now.append(s)
         n += w
     tail = " ".join(now)
@@ -71,3 +131,26 @@ def chunk_texts(df: DataFrame, id_col: str, text_col: str, size: int = 400, over
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([k for c in cut for k in range(len(c))], pa.int32()), pa.array([x for c in cut for x in c], pa.string())], names=["id", "chunk_index", "text"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, chunk_index int, text string").withColumnRenamed("id", id_col)
+
+
+def parse_transcripts(df: DataFrame, text: str = "transcript_text", classify: Callable[[Column], Column] | None = None, least: int = 100, size: int = 400, overlap: int = 50, shortest: int = 50) -> DataFrame:
+    """``(chunk_id, ticker, quarter, speaker, title, role, section, text, chunk_index)``: transcripts ``(ticker, quarter, text)`` cut into chunks of turns.
+
+    Notices are stripped, texts of fewer than ``least`` characters then left out; turns
+    and roles are those of ``turns``; a turn belongs to the questions if it begins
+    at or after their first cue (``qa_boundary``); each turn's sentences are packed
+    into chunks, numbered through the call. Of several texts of a call the longest
+    counts. Null keys are kept as a call of their own.
+    """
+    key = ["ticker", "quarter"]
+    calls = df.select(*key, strip_boilerplate(F.col(text)).alias("text")).filter(F.length("text") >= least)
+    calls = stage(keep_one(calls, key, [F.desc(F.length("text")), F.col("text")]).withColumn("call", F.xxhash64(*key)))
+    said = turns(calls, ["call"], "text", classify).filter("speaker is not null")
+    placed = said.join(calls.select("call", "text", qa_boundary(F.col("text")).alias("boundary"), *key), "call")
+    placed = placed.select("call", *key, "turn", "speaker", "title", "role", "words", turn_section(F.col("words"), F.col("text"), F.col("boundary")).alias("section"))
+    placed = stage(placed.withColumn("_turn", F.struct("call", "turn")))
+    cut = chunk_texts(placed.select(F.to_json("_turn").alias("id"), "words"), "id", "words", size, overlap, shortest)
+    cut = cut.withColumn("_turn", F.from_json("id", "struct<call: bigint, turn: bigint>")).select("_turn.call", "_turn.turn", F.col("chunk_index").alias("piece"), "text")
+    number = F.row_number().over(Window.partitionBy("call").orderBy("turn", "piece")) - 1
+    out = cut.withColumn("chunk_index", number).join(placed.drop("words", "_turn"), ["call", "turn"])
+    return out.select(F.format_string("%s_%s_%04d", "ticker", "quarter", "chunk_index").alias("chunk_id"), *key, "speaker", "title", "role", "section", "text", "chunk_index")

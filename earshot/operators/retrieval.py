@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.functions.text import tokens
+from earshot.functions.text import contains_any, let, tokens
 from earshot.storage import bounded_broadcast
 
 #: Sub-queries added by the first rule that fits. Fixed values, in order of precedence.
@@ -126,6 +126,67 @@ def evaluate(hits: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return n.join(good, "query", "left").select("query", (F.coalesce("found", F.lit(0)) / F.col("n")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))
 
 
+def evaluate_keywords(hits: DataFrame, asked: DataFrame, ks: tuple[int, ...] = (3, 5, 10), top_k: int = 5) -> DataFrame:
+    """One row per query: keyword recall at each k, reciprocal rank of the first hit with a keyword, accuracies of the first ``top_k`` hits and the keyword hit rate.
+
+    ``hits`` is ``(query, rank, text, ticker, section, role)``, ``asked`` ``(query,
+    keywords, tickers, sections, roles)`` with arrays of what is expected. Keywords
+    are looked for as substrings in any case. Without expected keywords recall, rank
+    and hit rate are 1, without expected tickers their accuracy is 1; the accuracies
+    of sections and roles are then null, as are all accuracies of a query without hits.
+    """
+    word = asked.select("query", F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("kw"))
+    first = hits.filter(F.col("rank") <= max(ks)).select("query", "rank", F.lower("text").alias("t")).join(word, "query").filter(F.contains("t", F.col("kw"))).groupBy("query", "kw").agg(F.min("rank").alias("at"))
+    found = first.groupBy("query").agg(*[F.sum((F.col("at") <= k).cast("int")).alias(f"f{k}") for k in ks], F.min("at").alias("best"))
+    near = hits.filter(F.col("rank") <= top_k).join(asked.select("query", "tickers", "sections", "roles"), "query")
+    share = lambda c, of: F.avg(F.array_contains(of, F.col(c)).cast("int"))
+    right = near.groupBy("query").agg(*[share(c, f"{c}s").alias(f"{c}_accuracy") for c in ("ticker", "section", "role")])
+    x = asked.join(found, "query", "left").join(right, "query", "left")
+    none = F.size(F.coalesce("keywords", F.array().cast("array<string>"))) == 0
+    n = F.size(F.array_distinct(F.transform("keywords", F.lower)))
+    some = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
+    rate = lambda k: F.when(none, 1.0).otherwise(F.coalesce(F.col(f"f{k}"), F.lit(0)) / n)
+    return x.select(
+        "query", *[rate(k).alias(f"recall_{k}") for k in ks], F.when(none, 1.0).otherwise(F.coalesce(1 / F.col("best"), F.lit(0.0))).alias("rr"), rate(max(ks)).alias("keyword_hit_rate"),
+        F.when(~some("tickers"), 1.0).otherwise(F.col("ticker_accuracy")).alias("ticker_accuracy"), F.when(some("sections"), F.col("section_accuracy")).alias("section_accuracy"), F.when(some("roles"), F.col("role_accuracy")).alias("role_accuracy"),
+    )
+
+
+def metric_summary(rows: DataFrame, key: str = "query") -> DataFrame:
+    """``(metric, mean, sd, n)`` of every other column: means and population deviations over the queries that have a value."""
+    names = [c for c in rows.columns if c != key]
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in names])).alias("x")).select("x.*")
+    return long.groupBy("metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.count("v").alias("n"))
+
+
+#: What an answer says that found nothing. They must equal those of the measures reproduced here.
+HEDGES = ["context doesn't", "not enough information", "no relevant", "cannot determine", "not mentioned"]
+
+
+def answer_measures(answers: DataFrame) -> DataFrame:
+    """Measures of each answer ``(query, answer, keywords, sources, queries_used)``, ``sources`` an array of ``(speaker, section)``; a null answer is one that failed and has nulls."""
+    low = F.lower("answer")
+    n = F.size(F.coalesce("keywords", F.array().cast("array<string>")))
+    covered = F.size(F.filter("keywords", lambda k: F.contains(low, F.lower(k))))
+    ok = F.col("answer").isNotNull()
+    cites = F.regexp_count("answer", F.lit(r"\[\d+\]"))
+    part = lambda c: F.size(F.array_distinct(F.transform("sources", lambda s: F.coalesce(s[c], F.lit("")))))
+    return answers.select(
+        "query", F.size(F.filter(F.split("answer", r"\s+"), lambda w: w != "")).alias("length_words"), cites.alias("citations"), (cites > 0).cast("int").alias("has_citations"), contains_any(low, HEDGES).cast("int").alias("hedged"),
+        F.when(ok, F.when(n == 0, 1.0).otherwise(covered / n)).alias("keyword_coverage"), F.when(ok, F.size("sources")).alias("n_sources"), F.when(ok, part("speaker")).alias("unique_speakers"), F.when(ok, part("section")).alias("unique_sections"),
+        F.when(ok, (F.col("queries_used") > 1).cast("int")).alias("expanded"),
+    )
+
+
+def answer_summary(measures: DataFrame) -> DataFrame:
+    """One row: questions, answers that succeeded, and the means of eight measures over these."""
+    mean = lambda c, a: F.avg(c).alias(a)
+    return measures.agg(
+        F.count("*").alias("n_questions"), F.count("keyword_coverage").alias("n_successful"), mean("length_words", "avg_answer_length"), mean("citations", "avg_citations"), mean("has_citations", "citation_rate"), mean("keyword_coverage", "avg_keyword_coverage"),
+        mean("hedged", "hedge_rate"), mean("expanded", "query_expansion_rate"), mean("n_sources", "avg_sources"), mean("unique_speakers", "avg_unique_speakers"),
+    )
+
+
 def islands(df: DataFrame, by: list[str], order: list[str], same: list[str]) -> DataFrame:
     """Adds ``island``: the number of each run of rows, in order, with equal ``same`` columns."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -146,15 +207,29 @@ def turn_chunks(df: DataFrame, by: list[str], order: list[str], same: list[str],
     return held.select(*by, "island", F.posexplode(packed).alias("piece_no", text))
 
 
-def save_index(postings: DataFrame, lengths: DataFrame, path: str) -> None:
-    postings.write.mode("overwrite").parquet(f"{path}/postings")
+def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``(id, vector)`` scaled to length 1; a vector of zeros stays, null ones are left out."""
+    length = F.sqrt(F.aggregate(F.col(vector_col), F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+    scaled = let(length, lambda n: F.transform(F.col(vector_col), lambda v: F.when(n > 0, v.cast("double") / n).otherwise(0.0)))
+    return vectors.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), scaled.alias("vector"))
+
+
+def save_index(postings: DataFrame, lengths: DataFrame, path: str, vectors: DataFrame | None = None) -> None:
+    """Postings by term, lengths, and unit vectors if given, as tables below the path."""
+    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    if vectors is not None:
+        vectors.write.mode("overwrite").parquet(f"{path}/vectors")
 
 
 def load_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
 
 
+def load_vectors(spark, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/vectors")
+
+
 def rerank(hits: DataFrame, scorer: Column, k: int) -> DataFrame:
     """Hits in the order of another score, the earlier rank breaking ties; ``scorer`` is any column, for instance of an Arrow UDF around a model."""
     again = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("_s"), "_r"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from earshot.functions import keys, lexicons, text as T
@@ -71,10 +72,6 @@ def filler_passive_pronouns(spark, d):
     )
 
 
-def citation_extract(spark, d):
-    return table(spark, d, DOCS).filter("text is not null").select("doc_id", F.array_join(T.citations(F.regexp_replace("text", r"(\d+)", "[$1]")), ",").alias("cited"))
-
-
 def normalized_scores(spark, d):
     n = lambda c, m: F.round(T.normalize_score(F.col(c), m), 6).alias(c)
     return table(spark, d, CHUNKS).select("chunk_id", n("lm_net_score", "lm"), n("vader_compound", "vader"), n("finbert_score", "finbert"), F.round(T.normalize_score(F.col("vader_pos"), "other"), 6).alias("vader_pos"))
@@ -85,10 +82,13 @@ def role_of_title(spark, d):
 
 
 def section_boundary(spark, d):
-    t = F.concat(F.lit("welcome to the call and good morning "), F.col("text"), F.lit(" now our first question please"))
+    """Where the questions of each call begin: the first cue in the last four fifths of its chunks put together."""
     x = table(spark, d, CHUNKS).filter("text is not null")
-    b = T.qa_boundary(t)
-    return x.select("chunk_id", b.alias("boundary"), F.when(F.call_function("locate", F.lit("first question"), F.lower(t)) >= b, "qa").otherwise("prepared_remarks").alias("cue_section"))
+    x = x.withColumn("_n", F.row_number().over(Window.partitionBy("chunk_id").orderBy("ingested_at"))).filter("_n = 1")
+    key = [keys.normalize_ticker(F.col("ticker")).alias("ticker"), keys.normalize_quarter(F.col("quarter")).alias("quarter")]
+    calls = x.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "text"))), lambda s: s["text"]), "\n").alias("t"))
+    b = T.qa_boundary(F.col("t"))
+    return calls.select("ticker", "quarter", b.alias("boundary"), (b <= F.length("t")).alias("has_questions"), T.section_cue(F.col("t")).alias("cue_section"))
 
 
 def boilerplate_strip(spark, d):
@@ -132,18 +132,17 @@ def missing_quarters(spark, d):
 
 
 def display_formats(spark, d):
+    """Returns as per cent, and the names of as many risk categories as the event's month says, spelled out and joined."""
     x = table(spark, d, "market_reactions")
-    return x.select("ticker", "quarter", F.when(F.col("ret_1d").isNotNull(), F.concat(F.format_string("%.4f", F.col("ret_1d") * 100), F.lit("%"))).alias("pct"), F.initcap(F.regexp_replace(F.lit("supply_chain_risk"), "_", " ")).alias("label"))
+    names = F.slice(F.array(*map(F.lit, sorted(lexicons.RISKS))), F.lit(1), F.least(F.month("earnings_date"), F.lit(10)))
+    shown = F.array_join(F.transform(names, lambda c: F.initcap(F.regexp_replace(c, "_", " "))), ", ")
+    return x.select("ticker", "quarter", F.when(F.col("ret_1d").isNotNull(), F.concat(F.format_string("%.4f", F.col("ret_1d") * 100), F.lit("%"))).alias("pct"), shown.alias("labels"))
 
 
 def ticker_detect(spark, d):
-    """The company of a document by the longest company name within its first 3000 characters; names meet texts by their first word, so nothing is crossed."""
-    docs = table(spark, d, DOCS).filter("text is not null").select("doc_id", F.upper(F.substring("text", 1, 3000)).alias("head"))
-    names = table(spark, d, "companies").select(F.col("ticker").alias("found"), F.upper(F.element_at(F.split("name", " "), 1)).alias("w"))
-    seen = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("head", F.lit("[A-Z]+"), F.lit(0)))).alias("w"))
-    best = seen.join(names, "w").groupBy("doc_id").agg(F.min(F.struct((-F.length("w")).alias("l"), "w", "found"))["found"].alias("found"))
-    q = F.regexp_extract("head", r"\b(20\d{2})[ -]?Q([1-4])\b", 0)
-    return docs.join(best, "doc_id", "left").select("doc_id", F.coalesce("found", F.lit("UNKNOWN")).alias("found"), keys.normalize_quarter(q).alias("quarter_found"))
+    """Company and quarter of each document by its whole text."""
+    docs = table(spark, d, DOCS).filter("text is not null").select("doc_id", "text")
+    return keys.detect_call(docs, "doc_id", "text", table(spark, d, "companies")).select("doc_id", F.coalesce("ticker", F.lit("UNKNOWN")).alias("found"), F.coalesce("quarter", F.lit("")).alias("quarter_found"))
 
 
 _Q = """CASE WHEN regexp_matches(s, '^(?:FY)?\\d{4}Q\\d') THEN regexp_extract(s, '^(?:FY)?(\\d{4})Q(\\d)', 1) || 'Q' || regexp_extract(s, '^(?:FY)?(\\d{4})Q(\\d)', 2)
@@ -155,14 +154,16 @@ _ROLE = "CASE WHEN coalesce(title, '') = '' THEN 'Unknown' " + " ".join("WHEN "
 _LEX = [("neg", lexicons.NEGATIVE), ("pos", lexicons.POSITIVE), ("unc", lexicons.UNCERTAIN)]
 _CORE = "regexp_replace(lower(w), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')"
 _MARK = "CASE " + " ".join(f"WHEN list_contains({L(x)}, {_CORE}) THEN '<{n}>' || w || '</{n}>'" for n, x in _LEX) + " ELSE w END"
-_T = "('welcome to the call and good morning ' || text || ' now our first question please')"
+_PHRASES = sorted({k for ks in lexicons.RISKS.values() for k in ks})
 _AT = ", ".join(f"CASE WHEN strpos(lower(t)[lo:], '{c.replace(chr(39), chr(39) * 2)}') > 0 THEN strpos(lower(t)[lo:], '{c.replace(chr(39), chr(39) * 2)}') + lo - 1 END" for c in T.QA_CUES)
 _DATE = r"regexp_replace(regexp_replace(trim(regexp_replace(date, '(?i),?\s*\d{1,2}:\d{2}\s*[ap]\.?m\.?\s*ET\s*$', '')), ',$', ''), '^([A-Za-z]{3})[a-z]*\.?\s+', '\1 ')"
 
+_QF = "CASE " + " ".join(f"WHEN regexp_matches(h, '{p}') THEN regexp_extract(h, '{p}', {y}) || 'Q' || " + (f"regexp_extract(h, '{p}', {q})" if isinstance(q, int) else f"'{q[0]}'") for p, y, q in keys.QUARTERS) + " END"
+
 QUERIES = {
     f.__name__: f
     for f in (
-        lexicon_sentiment_by_source, lexicon_sentiment_chunks, readability, fls_features, specificity_features, word_sentence_counts, filler_passive_pronouns, citation_extract, normalized_scores, role_of_title, section_boundary,
+        lexicon_sentiment_by_source, lexicon_sentiment_chunks, readability, fls_features, specificity_features, word_sentence_counts, filler_passive_pronouns, normalized_scores, role_of_title, section_boundary,
         boilerplate_strip, highlight_words, highlight_risk, valence_scores, quarter_normalize, ticker_normalize, date_parse, missing_quarters, display_formats, ticker_detect,
     )
 }
@@ -183,11 +184,13 @@ SQL = {
         len(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', ' ', 'g'), ' +'), lambda w: w <> ''))::INTEGER AS n_plain FROM {DOCS} WHERE text IS NOT NULL""",
     "filler_passive_pronouns": f"""SELECT chunk_id, ({" + ".join(count(f, "lower(text)") for f in T.FILLERS)})::INTEGER AS fillers, {count(T.PASSIVE, "lower(text)")}::INTEGER AS passives, {count(T.FIRST_PERSON, "lower(text)")}::INTEGER AS first_person,
         {count(T.THIRD_PERSON, "lower(text)")}::INTEGER AS third_person, (len(list_filter({L(T.DEFLECTIONS)}, lambda k: contains(lower(text), k))) > 0)::INTEGER AS deflects FROM {CHUNKS} WHERE text IS NOT NULL""",
-    "citation_extract": f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '(\\d+)', '[\\1]', 'g'), '\\[(\\d+)\\]', 1), lambda x: TRY_CAST(x AS INTEGER)))), ',') AS cited FROM {DOCS} WHERE text IS NOT NULL",
     "normalized_scores": f"SELECT chunk_id, round(greatest(-1, least(1, lm_net_score * 10)), 6) AS lm_net_score, round(greatest(-1, least(1, vader_compound)), 6) AS vader_compound, round(greatest(-1, least(1, finbert_score)), 6) AS finbert_score, round(vader_pos, 6) AS vader_pos FROM {CHUNKS}",
     "role_of_title": f"SELECT title, {_ROLE} AS role_found, count(*) AS n FROM {CHUNKS} GROUP BY ALL",
-    "section_boundary": f"""WITH a AS (SELECT chunk_id, {_T} AS t FROM {CHUNKS} WHERE text IS NOT NULL), b AS (SELECT *, (length(t) // 5) + 1 AS lo FROM a), c AS (SELECT *, coalesce(least({_AT}), length(t) + 1) AS e FROM b)
-        SELECT chunk_id, e::INTEGER AS boundary, CASE WHEN strpos(lower(t), 'first question') >= e THEN 'qa' ELSE 'prepared_remarks' END AS cue_section FROM c""",
+    "section_boundary": f"""WITH f AS (SELECT * FROM {CHUNKS} WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at) = 1), k AS (SELECT {_TICK} AS ticker, {_Q} AS quarter, chunk_index, chunk_id, text FROM (SELECT *, {_S} AS s FROM f)),
+        a AS (SELECT ticker, quarter, string_agg(text, chr(10) ORDER BY chunk_index NULLS FIRST, chunk_id) AS t FROM k GROUP BY ALL), b AS (SELECT *, (length(t) // 5) + 1 AS lo FROM a), c AS (SELECT *, coalesce(least({_AT}), length(t) + 1) AS e FROM b)
+        SELECT ticker, quarter, e::INTEGER AS boundary, e <= length(t) AS has_questions, CASE WHEN len(list_filter({L(T.QA_CUES)}, lambda q: contains(lower(t), q))) > 0 THEN 'qa' ELSE 'prepared_remarks' END AS cue_section FROM c""",
+    "highlight_risk": f"""WITH a AS (SELECT chunk_id, text, list_min(list_filter(list_transform({L(_PHRASES)}, lambda k: strpos(lower(text), k)), lambda p: p > 0)) AS f FROM {CHUNKS} WHERE text IS NOT NULL)
+        SELECT chunk_id, regexp_replace(text[greatest(1, coalesce(f, 1) - 200):greatest(1, coalesce(f, 1) - 200) + 399], '(?i)({"|".join(sorted(_PHRASES, key=lambda p: (-len(p), p)))})', '<risk>\\1</risk>', 'g') AS excerpt FROM a""",
     "highlight_words": f"SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: {_MARK}), ' ') AS marked FROM {DOCS} WHERE text IS NOT NULL",
     "quarter_normalize": f"""WITH a AS (SELECT quarter, count(*) AS n, {_S} AS s FROM {CHUNKS} GROUP BY ALL), b AS (SELECT *, {_Q} AS q FROM a),
         c AS (SELECT *, CASE WHEN regexp_full_match(q, '\\d{{4}}Q[1-4]') THEN q[1:4]::INTEGER * 4 + q[6:6]::INTEGER - 1 END AS i FROM b)
@@ -199,9 +202,8 @@ SQL = {
         c AS (SELECT ticker, q[1:4]::INTEGER * 4 + q[6:6]::INTEGER - 1 AS i FROM b WHERE regexp_full_match(q, '\\d{{4}}Q[1-4]') AND ticker IS NOT NULL),
         e AS (SELECT ticker, i, lead(i) OVER (PARTITION BY ticker ORDER BY i) AS j FROM (SELECT DISTINCT * FROM c)), m AS (SELECT ticker, unnest(range(i + 1, j)) AS k FROM e WHERE j > i + 1)
         SELECT ticker, {_QTEXT.format(i="k")} AS missing FROM m""",
-    "display_formats": "SELECT ticker, quarter, format('{:.4f}%', ret_1d * 100) AS pct, 'Supply Chain Risk' AS label FROM market_reactions",
-    "ticker_detect": f"""WITH a AS (SELECT doc_id, upper(text[1:3000]) AS h FROM {DOCS} WHERE text IS NOT NULL), n AS (SELECT ticker AS found, upper(string_split(name, ' ')[1]) AS w FROM companies),
-        b AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(h, '[A-Z]+'))) AS w FROM a),
-        e AS (SELECT doc_id, found, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, w, found) AS k FROM b JOIN n USING (w))
-        SELECT doc_id, coalesce(found, 'UNKNOWN') AS found, regexp_replace(upper(regexp_extract(h, '\\b(20\\d{{2}})[ -]?Q([1-4])\\b', 0)), '[ -]', '', 'g') AS quarter_found FROM a LEFT JOIN (SELECT * FROM e WHERE k = 1) USING (doc_id)""",
+    "display_formats": f"""SELECT ticker, quarter, format('{{:.4f}}%', ret_1d * 100) AS pct, array_to_string(list_transform({L(sorted(lexicons.RISKS))}[1:least(month(earnings_date), 10)], lambda c: array_to_string(list_transform(string_split(c, '_'), lambda w: upper(w[1]) || w[2:]), ' ')), ', ') AS labels FROM market_reactions""",
+    "ticker_detect": f"""WITH a AS (SELECT doc_id, upper(text) AS h FROM {DOCS} WHERE text IS NOT NULL), n AS (SELECT ticker, upper(name) AS nm FROM companies),
+        m AS (SELECT doc_id, ticker, row_number() OVER (PARTITION BY doc_id ORDER BY length(nm) DESC, ticker) AS k FROM a JOIN n ON contains(h, nm)), q AS (SELECT *, {_QF} AS quarter_found, nullif(regexp_extract(h, '{keys.EXCHANGE}', 1), '') AS ex FROM a)
+        SELECT doc_id, coalesce(ex, ticker, 'UNKNOWN') AS found, coalesce(quarter_found, '') AS quarter_found FROM q LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (doc_id)""",
 }

@@ -359,3 +359,34 @@ def test_staged_folders_are_freed(spark):
     assert os.path.isdir(path) and df.count() == 5
     storage.free(mark)
     assert not os.path.isdir(path) and storage.staged() == mark
+
+
+def test_roles_in_cascade(spark):
+    """By title, by a title elsewhere, by the introduction, by how the call is opened, by a classifier; and one turn of an unknown speaker."""
+    filler = "We talk about the quarter and the year at length. " * 12
+    t = "\n".join([
+        "Ann Lee:", "Good day, with me today are Bob Ray, our chief executive officer, and Cat Fox.", "Bob Ray:", "Thank you. " + filler, "Cat Fox (Chief Financial Officer)", "Numbers. " + filler, "DAN HILL: A question about margins.",
+        "Cat Fox:", "Our answer. " + filler, "Operator: Next, please.", "Eve Moss, Northolt Bank Analyst Desk With A Very Long Name For Its Department Of Equities: Hello there.", "Safe Harbor:", "this is no name.",
+    ])
+    df = spark.createDataFrame([(1, t), (2, "Ann Lee:\nonly one label here"), (3, None), (4, "")], "id int, text string")
+    classify = lambda c: F.when(F.contains(c, F.lit("margins")), "Analyst").otherwise("Unknown")
+    got = {(r["id"], r["turn"]): (r["speaker"], r["role"]) for r in ingest.turns(df, ["id"], classify=classify).collect()}
+    assert got == {
+        (1, 1): ("Ann Lee", "IR"), (1, 2): ("Bob Ray", "CEO"), (1, 3): ("Cat Fox", "CFO"), (1, 4): ("DAN HILL", "Analyst"), (1, 5): ("Cat Fox", "CFO"), (1, 6): ("Operator", "Operator"), (1, 7): ("Eve Moss", "Analyst"), (2, 1): ("Unknown", "Unknown"),
+    }
+
+
+def test_parse_transcripts(spark):
+    said = " ".join(f"This is sentence number {i} of our remarks today." for i in range(150))
+    asked = " ".join(f"We answer point {i} with some care now." for i in range(40))
+    t = f"Copyright 2021 of us\nJane Doe -- Chief Financial Officer\n{said}\nOperator: We'll now take questions. " + "Please wait for your turn and keep it short, thank you all very much. " * 5 + f"\nJane Doe:\n{asked}"
+    got = ingest.parse_transcripts(spark.createDataFrame([("A", "2021Q1", t), ("A", "2021Q1", "x" * 120), ("B", "2021Q1", "short"), ("C", "2021Q1", None)], "ticker string, quarter string, transcript_text string")).orderBy("chunk_index").collect()
+    assert [r["chunk_id"] for r in got] == [f"A_2021Q1_{i:04d}" for i in range(len(got))] and {r["ticker"] for r in got} == {"A"}
+    assert [(r["speaker"], r["role"], r["section"]) for r in got][0] == ("Jane Doe", "CFO", "prepared_remarks") and (got[-1]["speaker"], got[-1]["role"], got[-1]["section"]) == ("Jane Doe", "CFO", "qa")
+    assert all(len(r["text"].split()) <= 400 for r in got) and "Copyright" not in got[0]["text"]
+
+
+def test_role_of_a_turn_by_its_first_characters(spark):
+    row = spark.createDataFrame([("a" * 150 + "b" * 150 + "now our first question" + "c" * 150,)], "t string")
+    r = row.select(T.qa_boundary(F.col("t")).alias("b"), "t").select(*[T.turn_section(F.lit(x), F.col("t"), F.col("b")).alias(n) for n, x in (("p", "b" * 120), ("q", "c" * 120), ("s", "cc"))]).first()
+    assert (r["p"], r["q"], r["s"]) == ("prepared_remarks", "qa", "prepared_remarks")

@@ -8,7 +8,7 @@ import oracle
 from earshot.plans import registry
 
 QUERIES, SQL = registry.gather()
-SLOW = {"direction_models", "return_models", "walk_forward", "role_classifier"}
+SLOW = {"direction_models", "return_models", "walk_forward", "role_classifier", "role_predictions", "finance_run_all"}
 
 
 @pytest.fixture(scope="session")
