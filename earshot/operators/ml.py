@@ -179,11 +179,12 @@ def predict_roles(models: tuple[PipelineModel, PipelineModel], df: DataFrame, te
     words, model = models
     labels = F.array(*map(F.lit, model.stages[0].labels))
     later = PipelineModel(stages=model.stages[1:])
-    x = words.transform(df.withColumn("t", F.coalesce(F.col(text), F.lit("")))).withColumn("f", _sublinear("f0"))
+    held = df.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(text).isNotNull().alias("_there"))  # names of df may clash with the pipeline's
+    x = words.transform(held).withColumn("f", _sublinear("f0"))
     p = later.transform(x).withColumn("confidence", F.array_max(vector_to_array("probability")))
-    sure = (F.col("confidence") >= least) & F.col(text).isNotNull()
+    sure = (F.col("confidence") >= least) & F.col("_there")
     guess = F.coalesce(F.get(labels, F.col("prediction").cast("int")), F.lit("Unknown"))
-    return p.select(*df.columns, F.when(sure, guess).otherwise(F.lit("Unknown")).alias(out), "confidence")
+    return p.select("_row.*", F.when(sure, guess).otherwise(F.lit("Unknown")).alias(out), "confidence")
 
 
 def role_classifier(df: DataFrame, text: str, label: str, key: str, terms: int = 5000, least: float = 0.4, iterations: int = 1000) -> DataFrame:
