@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.operators.graph import connected_components
-from earshot.storage import bounded_broadcast, stage
+from earshot.storage import bounded_broadcast, shuffled, stage
 
 #: Short forms of given names. Everyday English usage.
 NICKNAMES = {
@@ -262,11 +262,11 @@ def resolve_companies(values: DataFrame, companies: DataFrame, value_col: str =
     word = word.withColumn("df", F.count("*").over(Window.partitionBy("word")))
     least = F.min("df").over(Window.partitionBy("ticker"))
     rare = word.withColumn("least", least).groupBy("ticker").agg(F.collect_set(F.when(F.col("df") == F.col("least"), F.col("word"))).alias("rare"))
-    index = firm.join(rare, "ticker")
+    index = firm.join(shuffled(rare), "ticker")
     own = F.transform(near(F.lower(F.trim("ticker"))), lambda d: F.concat(F.lit("t"), d))
     known = index.select("ticker", "name", "rare", F.explode_outer("rare").alias("w")).select("ticker", "name", "rare", F.explode(F.transform(near(F.coalesce("w", F.lit(""))), lambda d: F.concat(F.lit("n"), d))).alias("key"))
     index = index.select("ticker", "name", "rare", F.explode(own).alias("key")).unionByName(known)
-    meet = raws.select("raw", F.explode(probes("raw")).alias("key")).join(index, "key").select("raw", "ticker", "name", "rare").distinct()
+    meet = raws.select("raw", F.explode(probes("raw")).alias("key")).join(shuffled(index), "key").select("raw", "ticker", "name", "rare").distinct()
     scored = meet.withColumn("cost", cost("raw", "ticker", "name", "rare")).filter(F.col("cost") < 3)
     best = scored.groupBy("raw", "cost").agg(F.count("*").alias("n"), F.min("ticker").alias("company")).groupBy("raw").agg(F.min(F.struct("cost", "n", "company")).alias("b"))
     return best.filter("b.n = 1").select("raw", F.col("b.company").alias("company"))
@@ -320,19 +320,19 @@ def link_people(names: DataFrame, scope_col: str = "company", name_col: str = "s
     once = full.select("scope", "node", "words", "own", "weak").dropDuplicates(["node"])  # spellings of the same words in the same order are one node
     posted = once.select("scope", "node", "words", F.explode("own").alias("k")).select("node", "words", key("k").alias("key"))
     x, y = posted.toDF("a", "wa", "key"), posted.toDF("b", "wb", "key")
-    met = x.join(y, "key").filter("a < b").select("a", "b", "wa", "wb").distinct()
+    met = x.join(shuffled(y), "key").filter("a < b").select("a", "b", "wa", "wb").distinct()
     links = stage(met.filter(full_cost("wa", "wb") <= 1).select("a", "b"))
-    groups = full.select("scope", "spelling", "node", "words", "weak").join(connected_components(links), "node", "left").withColumn("entity", F.coalesce("component", "node"))
+    groups = full.select("scope", "spelling", "node", "words", "weak").join(shuffled(connected_components(links)), "node", "left").withColumn("entity", F.coalesce("component", "node"))
     groups = stage(groups.select("scope", "spelling", "words", "weak", "entity"))
 
     forms = parsed.filter("kind in ('initial', 'single')").select("scope", "spelling", "kind", "words", "initials", "weak")
     looked = forms.select("scope", "spelling", "kind", "words", "initials", F.explode("weak").alias("k")).withColumn("key", key("k")).drop("k")
     there = groups.dropDuplicates(["entity", "words"]).select("scope", "entity", F.col("words").alias("full"), F.explode("weak").alias("k")).select("entity", "full", key("k").alias("key"))
-    fits = looked.join(there, "key").select("scope", "spelling", "kind", "words", "initials", "entity", "full").distinct()
+    fits = looked.join(shuffled(there), "key").select("scope", "spelling", "kind", "words", "initials", "entity", "full").distinct()
     fits = fits.withColumn("cost", form_cost("kind", "words", "initials", "full")).filter("cost < 9").groupBy("scope", "spelling", "entity").agg(F.min("cost").alias("cost"))
     best = fits.groupBy("scope", "spelling", "cost").agg(F.count("*").alias("n"), F.min("entity").alias("entity")).groupBy("scope", "spelling").agg(F.min(F.struct("cost", "n", "entity")).alias("b"))
     best = stage(best.select("scope", "spelling", F.when(F.col("b.n") == 1, F.col("b.entity")).alias("entity")))
-    alone = forms.filter("kind = 'initial'").join(best, ["scope", "spelling"], "left_anti")
+    alone = forms.filter("kind = 'initial'").join(shuffled(best), ["scope", "spelling"], "left_anti")
     alone = alone.select("scope", "spelling", F.concat_ws("\u0001", F.col("scope").cast("string"), F.lit("\u0002"), F.element_at("initials", 1), F.element_at("words", -1)).alias("entity"))
     operator = parsed.filter("kind = 'operator'").select("scope", "spelling", F.concat_ws("\u0001", F.col("scope").cast("string"), F.lit("\u0002operator")).alias("entity"))
     return groups.select("scope", "spelling", "entity").unionByName(best.dropna()).unionByName(alone).unionByName(operator)
@@ -342,7 +342,7 @@ def spelling_pairs(entities: DataFrame) -> DataFrame:
     """``(scope, spelling_a, spelling_b)`` of all spellings of one entity, spelling_a < spelling_b by code point."""
     a = entities.select("scope", "entity", F.col("spelling").alias("spelling_a"))
     b = entities.select("scope", "entity", F.col("spelling").alias("spelling_b"))
-    return a.join(b, ["scope", "entity"]).filter("spelling_a < spelling_b").select("scope", "spelling_a", "spelling_b").distinct()
+    return a.join(shuffled(b), ["scope", "entity"]).filter("spelling_a < spelling_b").select("scope", "spelling_a", "spelling_b").distinct()
 
 
 def spelling_groups(df: DataFrame, companies: DataFrame, ticker_col: str = "ticker", speaker_col: str = "speaker") -> DataFrame:
@@ -354,8 +354,8 @@ def spelling_groups(df: DataFrame, companies: DataFrame, ticker_col: str = "tick
     seen = stage(df.select(F.col(ticker_col).alias("ticker"), F.col(speaker_col).alias("speaker")).distinct())
     mapping = stage(resolve_companies(seen, companies))
     raws = seen.select(F.col("ticker").cast("string").alias("spelling")).filter("trim(spelling) <> ''").distinct()
-    firms = raws.join(mapping, raws.spelling == mapping.raw, "left").select(F.lit("ticker").alias("field"), F.col("company").alias("ticker"), F.col("company").alias("entity"), "spelling")
-    people = link_people(seen.join(bounded_broadcast(mapping), seen.ticker == mapping.raw))
+    firms = raws.join(shuffled(mapping), raws.spelling == mapping.raw, "left").select(F.lit("ticker").alias("field"), F.col("company").alias("ticker"), F.col("company").alias("entity"), "spelling")
+    people = link_people(seen.join(shuffled(mapping), seen.ticker == mapping.raw))
     return firms.unionByName(people.select(F.lit("speaker").alias("field"), F.col("scope").alias("ticker"), "entity", "spelling"))
 
 

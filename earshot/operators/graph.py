@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.storage import stage
+from earshot.storage import shuffled, stage
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,8 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round takes the least label among a node and its neighbours, then the
     label of that label, so a chain of n nodes needs about log2(n) rounds. Every
-    round is one aggregation and two equi-joins; labels are cut to shared
-    storage, so nothing is gathered and lineage stays short. Rounds end when no label
+    round is one aggregation and three shuffled equi-joins; labels are cut to shared
+    storage, so nothing is gathered or broadcast and lineage stays short. Rounds end when no label
     changes; labels only fall, so they always do.
     Null endpoints and self-loops are allowed: nulls are dropped, a loop keeps its node.
     """
@@ -22,10 +22,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = stage(e.union(e.select("d", "s")).distinct())
     labels = stage(e.groupBy(F.col("s").alias("node")).agg(F.least(F.min("d"), F.first("s")).alias("component")))
     while True:
-        near = e.join(labels, e.d == labels.node).groupBy("s").agg(F.min("component").alias("near"))
-        hooked = labels.join(near, labels.node == near.s).select("node", F.col("component").alias("old"), F.least("component", "near").alias("hook"))
+        near = e.join(shuffled(labels), e.d == labels.node).groupBy("s").agg(F.min("component").alias("near"))
+        hooked = labels.join(shuffled(near), labels.node == near.s).select("node", F.col("component").alias("old"), F.least("component", "near").alias("hook"))
         root = labels.select(F.col("node").alias("hook"), F.col("component").alias("root"))
-        now = stage(hooked.join(root, "hook").select("node", "old", F.least("hook", "root").alias("component")))
+        now = stage(hooked.join(shuffled(root), "hook").select("node", "old", F.least("hook", "root").alias("component")))
         labels = now.select("node", "component")
         if now.filter(F.col("old") != F.col("component")).isEmpty():
             return labels

@@ -42,8 +42,9 @@ def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result has no lineage, survives the loss of executors, is columnar and
-    compressed, and carries exact size statistics for the planner. Its files stay
-    until ``free`` is called or Python exits.
+    compressed. The planner takes the size of its compressed files for that of its
+    rows, so joins of results that grow with the input need ``shuffled``. Its files
+    stay until ``free`` is called or Python exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
@@ -82,6 +83,16 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(row.cast("long"))).first()[0] or 0
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for an equi-join that is never a broadcast, whatever the planner takes its size for.
+
+    The planner counts compressed files and the rows before an ``explode``; a side
+    that it takes for 10 MB can be twenty times that in the driver, which builds the
+    broadcast. For sides that grow with the input.
+    """
+    return df.hint("merge")
+
+
 def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its rows take at most ``max_bytes``, else ``df`` as it is (a shuffle join)."""
     return F.broadcast(df) if measured_bytes(df) <= max_bytes else df

@@ -113,6 +113,25 @@ def test_variant_spellings(spark):
     assert names.variant_spellings(df.limit(0), companies(spark)).count() == 0
 
 
+def executed_plans(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return {runs.apply(i).executionId(): runs.apply(i).physicalPlanDescription() for i in range(runs.size())}
+
+
+def test_spellings_send_nothing_that_grows_to_the_driver(spark):
+    """No step of it, as it ran, is a broadcast: staged files and sides before an explode look small to the planner, and the driver builds what is broadcast."""
+    rows = [("ABCDE", "Ruth Cygowyn"), ("nyse:abcde", "Cygowyn, Ruth"), ("ABCDE US", "R. Cygowyn"), ("FGHIJ", "Tom Nagar"), ("FGHIJ ", "Thomas Nagar"), ("FGHIJ", "T. Sobel"), ("FGHIJ", "T. R. Sobel")]
+    before = executed_plans(spark)
+    got = names.variant_spellings(spark.createDataFrame(rows, "ticker string, speaker string"), companies(spark)).collect()
+    assert {tuple(r) for r in got if r[0] == "speaker"} == {
+        ("speaker", "ABCDE", "Cygowyn, Ruth", "R. Cygowyn"), ("speaker", "ABCDE", "Cygowyn, Ruth", "Ruth Cygowyn"), ("speaker", "ABCDE", "R. Cygowyn", "Ruth Cygowyn"),
+        ("speaker", "FGHIJ", "Thomas Nagar", "Tom Nagar"), ("speaker", "FGHIJ", "T. R. Sobel", "T. Sobel"),
+    }
+    ran = [p for k, p in executed_plans(spark).items() if k not in before]
+    assert any("SortMergeJoin" in p for p in ran) and not any("BroadcastExchange" in p for p in ran)
+
+
 # 3
 
 
